@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linkgraph, mixing, sharding
+from . import chat, linkgraph, mixing, sharding, syncmers
 from ._shared import word_count
 
 N_SHARDS = 16
@@ -54,6 +54,24 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    both = syncmers.with_next(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
+    both = both.withColumn("edited", edited)
+    out = syncmers.fingerprints(both, {"own": F.col("text"), "edited": F.col("edited"), "next": F.col("next_text")})
+    return out.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        syncmers.fingerprint_text(F.col("own_anchors")).alias("fingerprint"),
+        syncmers.fingerprint_text(F.col("edited_anchors")).alias("edited_fingerprint"),
+        syncmers.likeness(F.col("own_set"), F.col("edited_set")).alias("near_edited"),
+        syncmers.likeness(F.col("own_set"), F.col("next_set")).alias("near_next"),
+    )
+
+
 URL_RULES = [
     linkgraph.Rule("block", "com/en/"),
     linkgraph.Rule("allow", "example.com/en/7"),
@@ -105,7 +123,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mix": op4_mix, "op6_shard": op6_shard, "op9_urls": op9_urls, "op10_chat": op10_chat}
+    return {"op4_mix": op4_mix, "op6_shard": op6_shard, "op7_syncmers": op7_syncmers, "op9_urls": op9_urls, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
