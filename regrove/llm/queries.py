@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linkgraph, mixing, sharding, syncmers
-from ._shared import word_count
+from . import chat, linkgraph, mixing, quality, sharding, syncmers
+from ._shared import remainder, word_count
 
 N_SHARDS = 16
 
@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder(F.col("doc_id"), 3) == 1
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    out = quality.score(docs.withColumn("held_out", held), model)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(docs, F.col("source"), F.col("size"), F.col("doc_id"))
@@ -123,7 +130,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_mix": op4_mix, "op6_shard": op6_shard, "op7_syncmers": op7_syncmers, "op9_urls": op9_urls, "op10_chat": op10_chat}
+    return {"op2_quality": op2_quality, "op4_mix": op4_mix, "op6_shard": op6_shard, "op7_syncmers": op7_syncmers, "op9_urls": op9_urls, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
