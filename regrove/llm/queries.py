@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linkgraph, mixing, quality, sharding, syncmers
+from . import chat, linkgraph, mixing, quality, sharding, syncmers, toxicity
 from ._shared import remainder, word_count
 
 N_SHARDS = 16
@@ -79,6 +79,13 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held)
+    out = toxicity.tag(docs.withColumn("held_out", held), model)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "spans")
+
+
 URL_RULES = [
     linkgraph.Rule("block", "com/en/"),
     linkgraph.Rule("allow", "example.com/en/7"),
@@ -130,7 +137,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op4_mix": op4_mix, "op6_shard": op6_shard, "op7_syncmers": op7_syncmers, "op9_urls": op9_urls, "op10_chat": op10_chat}
+    return {"op2_quality": op2_quality, "op4_mix": op4_mix, "op6_shard": op6_shard, "op7_syncmers": op7_syncmers, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
