@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linkgraph, mixing, quality, sharding, syncmers, toxicity
+from . import chat, decontaminate, linkgraph, mixing, quality, sharding, syncmers, toxicity
 from ._shared import remainder, word_count
 
 N_SHARDS = 16
@@ -19,6 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), remainder(F.col("doc_id"), 3) == 1
     model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held)
@@ -137,7 +141,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op4_mix": op4_mix, "op6_shard": op6_shard, "op7_syncmers": op7_syncmers, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_chat": op10_chat}
+    return {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_mix": op4_mix, "op6_shard": op6_shard, "op7_syncmers": op7_syncmers, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
