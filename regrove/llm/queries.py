@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, linkgraph, mixing, quality, sharding, syncmers, toxicity
+from . import chat, decontaminate, jaccard, linkgraph, mixing, quality, sharding, syncmers, toxicity
 from ._shared import remainder, word_count
 
 N_SHARDS = 16
@@ -56,6 +56,23 @@ FROM y
 """
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Shingles by text, a self-join on them, and a transitive closure of the links.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN list_aggregate(w[i:i+4], 'string_agg', ' ') ELSE list_aggregate(w, 'string_agg', ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM o JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * o >= 75 * (x.n + y.n - o)),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.v FROM r JOIN l ON l.u = r.c)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -141,8 +158,8 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_mix": op4_mix, "op6_shard": op6_shard, "op7_syncmers": op7_syncmers, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_chat": op10_chat}
+    return {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_mix": op4_mix, "op5_jaccard": op5_jaccard, "op6_shard": op6_shard, "op7_syncmers": op7_syncmers, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix": OP4_SQL, "op10_chat": OP10_SQL}
+    return {"op4_mix": OP4_SQL, "op5_jaccard": OP5_SQL, "op10_chat": OP10_SQL}
