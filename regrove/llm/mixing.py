@@ -58,17 +58,19 @@ def mix(df: DataFrame, source: Column, size: Column, key: Column, *, weights: tu
         key.alias("_id"),
         F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")).alias("_key"),
     )
+    # Never null, so that joins and windows share one partitioning.
+    rows = rows.withColumn("_name", F.when(F.col("_source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("_source"))))
     n_buckets = max(1, -(-df.count() // bucket_rows))
     rows = rows.withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") * n_buckets / float(1 << 32)))
-    buckets = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_held"))
+    buckets = rows.groupBy("_name", "_source", "_bucket").agg(F.sum("_size").alias("_held"))
     targets = source_targets(buckets.groupBy("_source").agg(F.sum("_held").alias("_size")), weights, share, most)
-    earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select("_source", "_bucket", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_offset"))
+    earlier = Window.partitionBy("_name").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select("_name", "_source", "_bucket", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_offset"))
     b, t = buckets.alias("b"), targets.alias("t")
-    buckets = b.join(t, F.col("b._source").eqNullSafe(F.col("t._source"))).select("b._source", "_bucket", "_offset", "source_size", "target")
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_before", F.sum("_size").over(inside) - F.col("_size")).alias("r")
-    out = rows.join(buckets.alias("b"), F.col("r._source").eqNullSafe(F.col("b._source")) & (F.col("r._bucket") == F.col("b._bucket")))
+    buckets = b.join(t, F.col("b._source").eqNullSafe(F.col("t._source"))).select("_name", "_bucket", "_offset", "source_size", "target")
+    inside = Window.partitionBy("_name", "_bucket").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_before", F.sum("_size").over(inside) - F.col("_size"))
+    out = rows.join(buckets, ["_name", "_bucket"])
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))
     rest = F.col("target") - whole * F.col("source_size")
     middle = F.col("_offset") + F.col("_before") + F.col("_size") / 2

@@ -207,21 +207,21 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "tox
 SPAN = "array<struct<start:bigint,stop:bigint>>"
 
 
-def tag(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """``df`` (its text left out) with ``score`` and ``spans``, the code points of each run of toxic words.
+def tag(df: DataFrame, model: Model, *, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``df`` (its text left out, unless ``keep_text``) with ``score`` and ``spans``, the code points of each run of toxic words.
 
     ``score``: the probability that the document is toxic, from its words' marginals; empty and null texts get the score of no words and no
     spans. Input columns named like an output are replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in df.columns if c.lower() not in (text.lower(), "score", "spans")]
+    others = [c for c in df.columns if c.lower() not in ("score", "spans") and (keep_text or c.lower() != text.lower())]
     schema = df.select(*[F.col(f"`{c}`") for c in others], F.lit(0.0).alias("score"), F.lit(None).cast(SPAN).alias("spans")).schema
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, spans = [], []
-            for _, _, data, offsets in tn.chunks(batch.column(text)):
+            for _, _, data, offsets in tn.chunks(batch.column(batch.num_columns - 1)):
                 tok = tokens(data, offsets)
                 odds = marginals(tok, shared.value)
                 scores.append(tn.sigmoid(summary(odds, tok.first) @ shared.value.law))
@@ -229,7 +229,7 @@ def tag(df: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             out = [pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(spans, kind)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *out], [*others, "score", "spans"])
 
-    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(tagged, schema)
+    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string").alias("_text")).mapInArrow(tagged, schema)
 
 
 def offending(data: np.ndarray, offsets: np.ndarray, tok: Tokens, odds: np.ndarray) -> list[list[dict]]:
