@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, linkgraph, mixing, quality, sharding, syncmers, toxicity
+from . import chat, decontaminate, jaccard, katz, linkgraph, mixing, quality, sharding, syncmers, toxicity
 from ._shared import remainder, word_count
 
 N_SHARDS = 16
@@ -30,6 +30,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 10) != 0).alias("train"))
+    return katz.katz_scores(docs, "train")
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(docs, F.col("source"), F.col("size"), F.col("doc_id"))
@@ -158,7 +163,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op4_mix": op4_mix, "op5_jaccard": op5_jaccard, "op6_shard": op6_shard, "op7_syncmers": op7_syncmers, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_chat": op10_chat}
+    return {"op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_katz": op3_katz, "op4_mix": op4_mix, "op5_jaccard": op5_jaccard, "op6_shard": op6_shard, "op7_syncmers": op7_syncmers, "op8_toxicity": op8_toxicity, "op9_urls": op9_urls, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
