@@ -128,7 +128,7 @@ def parse_terms(text: str) -> tuple[tuple[tuple[str, ...], ...], bool]:
     terms = parser.sum()
     if parser.peek() is not None:
         raise ValueError(f"formula has {parser.peek()!r} at the end")
-    order = {v: k for k, v in enumerate(dict.fromkeys(v for t in terms for v in t))}
+    order = {v: k for k, v in enumerate(dict.fromkeys(parser.tokens))}
     terms = _unique([tuple(sorted(t, key=order.get)) for t in terms])
     return tuple(sorted(terms, key=len)), parser.dropped_intercept
 

@@ -24,7 +24,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Group means hardly differ, which makes Mundlak models ill-conditioned and their coefficients large.
-MUNDLAK_DIGITS = 1
+MUNDLAK_DIGITS = 2
 
 
 def _terms(spark: SparkSession, fit: RegressionResult) -> DataFrame:
@@ -66,14 +66,14 @@ for _v in ("iid", "hc1", "cluster"):
     _within = f"(SELECT *, {', '.join(f'{c} - avg({c}) OVER (PARTITION BY l_suppkey) AS d_{c}' for c in [*XS, Y])} FROM lineitem) w"
     QUERIES[f"demean_1fe_{_v}"] = _lineitem(f"{PLAIN} | l_suppkey", strategy="demean", **_how)
     ORACLES[f"demean_1fe_{_v}"] = regression_sql(_rows([f"d_{c}" for c in XS], f"d_{Y}", _g, _within), XS, vcov=_v, extra="(SELECT count(DISTINCT l_suppkey) FROM lineitem)")
-    _bars = f"(SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY l_suppkey) AS m_{c}' for c in XS)} FROM lineitem) w"
-    QUERIES[f"mundlak_1fe_{_v}"] = _lineitem(f"{PLAIN} | l_suppkey", strategy="mundlak", **_how)
-    ORACLES[f"mundlak_1fe_{_v}"] = regression_sql(_rows([*_X, *(f"m_{c}" for c in XS)], g=_g, source=_bars), [*_N, *(f"{c}_bar_l_suppkey" for c in XS)], vcov=_v, digits=MUNDLAK_DIGITS)
+    _bars = f"(SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY l_partkey) AS m_{c}' for c in XS)} FROM lineitem) w"
+    QUERIES[f"mundlak_1fe_{_v}"] = _lineitem(f"{PLAIN} | l_partkey", strategy="mundlak", **_how)
+    ORACLES[f"mundlak_1fe_{_v}"] = regression_sql(_rows([*_X, *(f"m_{c}" for c in XS)], g=_g, source=_bars), [*_N, *(f"{c}_bar_l_partkey" for c in XS)], vcov=_v, digits=MUNDLAK_DIGITS)
 QUERIES["compress_fe_nested"] = _lineitem(FE, strategy="compress", cluster="l_returnflag", ssc="nested")
 ORACLES["compress_fe_nested"] = regression_sql(_rows(_XF, g="l_returnflag"), _NF, vcov="cluster", k="6 - (SELECT count(DISTINCT l_returnflag) FROM lineitem)")
-_two = f"(SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY {f}) AS m{k}_{c}' for c in XS for k, f in enumerate(('l_suppkey', 'l_returnflag')))} FROM lineitem) w"
-QUERIES["mundlak_2fe"] = _lineitem(f"{PLAIN} | l_suppkey + l_returnflag", strategy="mundlak")
-ORACLES["mundlak_2fe"] = regression_sql(_rows([*_X, *(f"m{k}_{c}" for c in XS for k in (0, 1))], source=_two), [*_N, *(f"{c}_bar_{f}" for c in XS for f in ("l_suppkey", "l_returnflag"))], digits=MUNDLAK_DIGITS)
+_two = f"(SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY {f}) AS m{k}_{c}' for c in XS for k, f in enumerate(('l_partkey', 'l_orderkey')))} FROM lineitem) w"
+QUERIES["mundlak_2fe"] = _lineitem(f"{PLAIN} | l_partkey + l_orderkey", strategy="mundlak")
+ORACLES["mundlak_2fe"] = regression_sql(_rows([*_X, *(f"m{k}_{c}" for c in XS for k in (0, 1))], source=_two), [*_N, *(f"{c}_bar_{f}" for c in XS for f in ("l_partkey", "l_orderkey"))], digits=MUNDLAK_DIGITS)
 _qty = [("l_returnflag", "N"), ("l_returnflag", "R")]
 QUERIES["interaction_num_factor"] = _lineitem(f"{Y} ~ l_quantity * l_returnflag", strategy="moments")
 ORACLES["interaction_num_factor"] = regression_sql(_rows(["1", "l_quantity", *(_dummy(*f) for f in _qty), *(f"l_quantity * {_dummy(*f)}" for f in _qty)]), ["(Intercept)", "l_quantity", "l_returnflagN", "l_returnflagR", "l_quantity:l_returnflagN", "l_quantity:l_returnflagR"])
