@@ -89,9 +89,11 @@ def format_trees(messages: DataFrame, *, best: int | None = None, loss_roles: tu
 
     ``messages``: tree, node, parent, role, text, score; other columns are ignored. Paths of a tree are ranked by the mean score of
     their messages (null: 0), ties by leaf; ``best``: how many to keep (None: all). ``loss``: spans of ``text``, in code
-    points, that are under the loss mask. Null roles and texts are empty. A path is one record, so it must fit in memory. No messages: no rows.
+    points, that are under the loss mask. Null roles and texts are empty; a null tree is a tree, a message without a node is left out.
+    A path is one record, so it must fit in memory. No messages: no rows.
     """
-    messages = messages.select("tree", "node", "parent", "role", "text", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    # A struct is never null, so that joins find the null tree too.
+    messages = messages.where("node is not null").select(F.struct("tree").alias("tree"), "node", "parent", "role", "text", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
     paths = reply_paths(messages)
     scored = paths.join(messages.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), "leaf"))
@@ -101,6 +103,7 @@ def format_trees(messages: DataFrame, *, best: int | None = None, loss_roles: tu
     turns = paths.join(scored, ["tree", "leaf"]).join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
     turn = F.struct((-F.col("up")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = turns.groupBy("tree", "leaf", "score", "rank").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = whole.select("tree.tree", "leaf", "score", "rank", "turns")
     schema = f"tree {dict(whole.dtypes)['tree']}, leaf {dict(whole.dtypes)['leaf']}, score double, rank int, n_turns long, text string, loss array<struct<start:bigint,stop:bigint>>"
 
     def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
