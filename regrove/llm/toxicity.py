@@ -136,7 +136,8 @@ def token_labels(tok: Tokens, toxic: np.ndarray) -> np.ndarray:
     size = 1 << BUCKETS_LOG2
     counts = np.zeros((2, size))
     for column in tok.features.T:
-        pairs = np.unique(doc * np.int64(size) + column)
+        pairs = np.sort(doc * np.int64(size) + column)
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
         of = toxic[pairs // size].astype(bool)
         counts[1] += np.bincount(pairs[of] % size, minlength=size)
         counts[0] += np.bincount(pairs[~of] % size, minlength=size)
@@ -153,9 +154,14 @@ def train(texts: list[str | None], toxic: np.ndarray, *, epochs: int = 6, rate:
     model = Model(np.zeros(1 << BUCKETS_LOG2), np.zeros((2, 2)), 0.0, np.zeros(4))
     if not len(texts):
         return model
-    column = pa.array(texts, pa.string())
-    ((_, _, data, offsets),) = tn.chunks(column, 1 << 62)
-    tok = tokens(data, offsets)
+    # Only features and lengths are kept, a chunk of texts at a time.
+    features, sizes = [], []
+    for _, _, data, offsets in tn.chunks(pa.array(texts, pa.string())):
+        part = tokens(data, offsets)
+        features.append(part.features)
+        sizes.append(np.diff(part.first))
+    none = np.zeros(0, np.int64)
+    tok = Tokens(none, none, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(features))
     labels = token_labels(tok, toxic)
     squares, move_squares = np.full(len(model.weights), 1e-8), np.full((2, 2), 1e-8)
     model.weights[:] = 0.0
