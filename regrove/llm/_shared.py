@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
 
-    The files go when the driver's JVM closes its file systems.
+    The files go when the driver's JVM closes its file systems. A garbage collection lets Spark's cleaner
+    drop the shuffle files of what is now written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/regrove-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs now: it works on what the collector found the time before."""
+    gc.collect()
+    for _ in range(2):
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns that outputs of these names replace (names compare as Spark does, without case)."""
     low = {n.lower() for n in names}
@@ -95,3 +109,17 @@ def rank_in(key: Column, bounds: list[int]) -> Column:
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
     held = longs(bounds + [(1 << 63) - 1] * ((1 << len(bounds).bit_length()) - 1 - len(bounds)))
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.element_at(held, at + step) <= key, at + step).otherwise(at))
+
+
+def pack(a: np.ndarray) -> bytes:
+    """An array as compressed planes of bytes."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+    return len(a).to_bytes(8, "little") + (pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(a) else b"")
+
+
+def unpack(x: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(x[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    raw = pa.decompress(x[8:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()

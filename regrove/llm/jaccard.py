@@ -21,14 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _textnp as tn
-from ._shared import BROADCAST_ROWS, written
+from ._shared import BROADCAST_ROWS, pack, unpack, written
 from .components import components
 
 #: Hashed groups of shingles: coordinates of a point.
-GROUPS = 64
-#: Documents of a part of the input that must share a shingle before it counts as frequent, and frequent shingles that are told apart
-#: at most. Both only change the order of shingles, and so how full cells are, never which pairs are found.
-LOCAL_FREQUENT, MOST_FREQUENT = 8, 1 << 20
+GROUPS = 256
+#: Documents of a part of the input, and of all, that must share a shingle before it counts as frequent, and frequent shingles that are told
+#: apart at most. They only change the order of shingles, and so how full cells are, never which pairs are found.
+LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT = 2, 4, 1 << 20
+#: Bits of a shingle's hash that are sent for verification.
+SENT_BITS = 48
 #: Points of one tree; larger cells are dealt into blocks, and each pair of blocks is a tree of its own.
 BLOCK = 2048
 #: Points of a leaf, and children of an inner node.
@@ -58,6 +60,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nd
     return out
 
 
+def sent(hashes: np.ndarray) -> bytes:
+    """A sorted set by the leading bits of its hashes, as compressed differences."""
+    return pack(np.diff(hashes >> np.uint64(64 - SENT_BITS), prepend=np.uint64(0)))
+
+
+def received(x: bytes) -> np.ndarray:
+    return np.cumsum(unpack(x, np.uint64), dtype=np.uint64)
+
+
 def digest(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -89,10 +100,10 @@ def frequent_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray
         return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["token", "n"])
 
     counts = docs.select(F.col(text).cast("string")).mapInArrow(local, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.col("n").desc(), "token").limit(MOST_FREQUENT).toPandas()
-    tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
+    rows = counts.where(F.col("n") >= FREQUENT).orderBy(F.col("n").desc(), "token").limit(MOST_FREQUENT).toArrow()
+    tokens = rows.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], rows["n"].to_numpy(np.int64)[order]
+    return tokens[order], rows.column("n").to_numpy()[order].astype(np.int32)
 
 
 def described(docs: DataFrame, doc: str, text: str, size: int, num: int, den: int) -> DataFrame:
@@ -180,14 +191,14 @@ def verified(pairs: DataFrame, docs: DataFrame, doc: str, text: str, reps: DataF
             sets = [s for _, _, data, offsets in tn.chunks(batch.column(0)) for s in shingle_sets(data, offsets, size)]
             right = [digest(s) == node for s, node in zip(sets, batch.column(1).to_pylist())]  # an id may name several texts
             keep = pa.array([k for k, ok in enumerate(right) if ok], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(keep), batch.column(2).take(keep), pa.array([sets[k].tobytes() for k in keep.to_pylist()], pa.binary())], ["node", "keys", "held"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(keep), batch.column(2).take(keep), pa.array([sent(sets[k]) for k in keep.to_pylist()], pa.binary())], ["node", "keys", "held"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             out = []
             for key, node, blob in zip(*(batch.column(k) for k in (0, 2, 3))):
-                key, node, s = key.as_py(), node.as_py(), np.frombuffer(blob.as_buffer(), np.uint64)
+                key, node, s = key.as_py(), node.as_py(), received(blob.as_py())
                 if key != centre:
                     centre, held = key, s
                 elif node != key:
