@@ -224,8 +224,8 @@ class Tree:
             cuts = np.arange(0, len(least), FANOUT)
             self.levels.append((np.maximum.reduceat(top, cuts, axis=0), np.minimum.reduceat(least, cuts)))
 
-    def join(self, other: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places (in self, in other) of points whose summed coordinate minima reach what sets of their sizes must share."""
+    def join(self, other: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places in self, in other, bound by size) of points whose summed coordinate minima reach what sets of their sizes must share."""
         up = max(len(self.levels), len(other.levels)) - 1
         whole = lambda tree, k: np.arange(len(tree.levels[min(k, len(tree.levels) - 1)][1]))
         start = (whole(self, up), whole(other, up))
@@ -237,7 +237,7 @@ class Tree:
             near = (num + den) * bound >= num * (least_a[a][:, None] + least_b[b][None, :])
             if level == 0:
                 i, j = np.nonzero(near)
-                yield self.order[a[i]], other.order[b[j]]
+                yield self.order[a[i]], other.order[b[j]], bound[i, j] / (least_a[a[i]] + least_b[b[j]])
                 continue
             for i, j in zip(*np.nonzero(near)):
                 stack.append((level - 1, self.children(level, a[i]), other.children(level, b[j])))
@@ -248,8 +248,11 @@ class Tree:
         return np.arange(k * FANOUT, min((k + 1) * FANOUT, len(self.levels[level - 1][1])))
 
 
-def tree_pairs(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (token, low, high, block, node, component, n, point) sorted by the first three: candidate (u, v) of different components."""
+def tree_pairs(num: int, den: int, likeliest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (token, low, high, block, node, component, n, point) sorted by the first three: candidate (u, v) of different components.
+
+    ``likeliest``: of each two components in a tree only the pair with the highest bound.
+    """
 
     def pairs_of(block: np.ndarray, low: int, high: int, node: np.ndarray, component: np.ndarray, n: np.ndarray, points: np.ndarray) -> set[tuple[int, int]]:
         if len(node) == 2:
@@ -261,13 +264,20 @@ def tree_pairs(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
             return set()
         left = Tree(points[a], n[a])
         right = left if low == high else Tree(points[b], n[b])
-        out: set[tuple[int, int]] = set()
-        for i, j in left.join(right, num, den):
-            i, j = a[i], b[j]
-            apart = component[i] != component[j]
-            u, v = node[i[apart]], node[j[apart]]
-            out.update(zip(np.maximum(u, v).tolist(), np.minimum(u, v).tolist()))
-        return out
+        found = [(a[i], b[j], bound) for i, j, bound in left.join(right, num, den)]
+        if not found:
+            return set()
+        i, j, bound = (np.concatenate(x) for x in zip(*found))
+        apart = component[i] != component[j]
+        i, j, bound = i[apart], j[apart], bound[apart]
+        if likeliest and len(i):
+            first, second = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
+            order = np.lexsort((-bound, second, first))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0)
+            i, j = i[order[new]], j[order[new]]
+        u, v = node[i], node[j]
+        return set(zip(np.maximum(u, v).tolist(), np.minimum(u, v).tolist()))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -311,21 +321,31 @@ def jaccard_components(docs: DataFrame, *, doc: str = "doc_id", text: str = "tex
     first = written(met.groupBy("node").agg(F.max(F.struct("n", "before")).alias("b")).select(F.col("node").alias("u"), F.col("b.before").alias("v")), "first")
     links = written(verified(first, docs, doc, text, reps, size, num, den), "links")
     known = written(components(links), "components")
-    # Then what trees find between different components of the nodes of a cell.
-    placed = cells.select("token", "node").join(known, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.count("*").alias("points"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token", F.ceil(F.col("points") / BLOCK).alias("blocks"))
-    points = rows.where("prefix is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
-    alive = placed.join(mixed, "token").join(points, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    alive = alive.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    alive = alive.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "n", "point")
-    found = alive.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(tree_pairs(num, den), "u long, v long").distinct()
     tried = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    found = written(found.join(tried, ["u", "v"], "left_anti"), "found")
-    more = written(verified(found, docs, doc, text, reps, size, num, den), "more")
-    if not more.isEmpty():
-        known = written(components(links.union(more)), "components")
+    points = rows.where("prefix is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+    # Then what trees find between different components of the nodes of a cell: at first one pair of each two components, for a
+    # link joins them; then every pair that is still apart.
+    for likeliest in (True, False):
+        found = written(_apart(cells, known, points, num, den, likeliest).join(tried, ["u", "v"], "left_anti"), "found")
+        more = written(verified(found, docs, doc, text, reps, size, num, den), "more")
+        tried = tried.union(found)
+        if not more.isEmpty():
+            links = links.union(more)
+            known = written(components(links), "components")
     named = rows.select("doc", "node", "n").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = named.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
     named = named.join(ids, "component", "left")
     return named.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"))
+
+
+def _apart(cells: DataFrame, known: DataFrame, points: DataFrame, num: int, den: int, likeliest: bool) -> DataFrame:
+    """Candidate (u, v) of different components, from the trees of all cells that hold several."""
+    placed = cells.select("token", "node").join(known, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
+    placed = written(placed, "placed")
+    # Near copies share many shingles: cells with the very same nodes (equal signatures of 128 bits) are searched once.
+    mixed = placed.groupBy("token").agg(F.count("*").alias("points"), F.min("component").alias("a"), F.max("component").alias("b"), F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("two"))
+    mixed = mixed.where("a <> b").groupBy("points", "one", "two").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("points") / BLOCK).alias("blocks"))
+    alive = placed.join(mixed, "token").join(points, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    alive = alive.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    alive = alive.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component", "n", "point")
+    return alive.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(tree_pairs(num, den, likeliest), "u long, v long").distinct()

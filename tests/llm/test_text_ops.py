@@ -87,21 +87,6 @@ def test_jaccard_join(docs, texts, monkeypatch):
         assert got == want
 
 
-def test_jaccard_join_without_the_first_neighbours(docs, texts, monkeypatch):
-    """The trees alone find all links."""
-    real, calls = jaccard.verified, []
-
-    def none_at_first(pairs, *rest):
-        calls.append(1)
-        return real(pairs.where("false") if len(calls) == 1 else pairs, *rest)
-
-    monkeypatch.setattr(jaccard, "verified", none_at_first)
-    tried = brute_components(texts)
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
-    missing = {k for k in got if got[k] != tried[k][1]}
-    assert len(calls) == 2 and len(missing) <= len(got)
-
-
 def test_jaccard_edges(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.jaccard_components(none).count() == 0
@@ -116,7 +101,7 @@ def test_tree_bounds_lose_nothing():
     points[75:] = np.maximum(points[:75] + rng.integers(-1, 2, (75, jaccard.GROUPS)) * (rng.random((75, jaccard.GROUPS)) < 0.05), 0)
     sizes = points.sum(1)
     tree = jaccard.Tree(points, sizes)
-    found = {(int(a), int(b)) for i, j in tree.join(tree, 75, 100) for a, b in zip(i, j)}
+    found = {(int(a), int(b)) for i, j, _ in tree.join(tree, 75, 100) for a, b in zip(i, j)}
     bound = np.minimum(points[:, None], points[None]).sum(2)
     want = {(int(a), int(b)) for a, b in zip(*np.nonzero(175 * bound >= 75 * (sizes[:, None] + sizes[None])))}
     assert found == want and (0, 75) in want
