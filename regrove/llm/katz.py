@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _textnp as tn
-from ._shared import written
+from ._shared import pack, released, unpack, written
 
 BLOCK_TOKENS = 1_000_000
 #: Tokens of the input for each part of the key space.
@@ -32,20 +32,6 @@ END, BEGIN = np.uint64(0xE0D), np.uint64(0xB0B)
 LEAST = 0.5
 
 
-def pack(a: np.ndarray) -> bytes:
-    """An array as compressed planes of bytes."""
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
-    return len(a).to_bytes(8, "little") + (pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(a) else b"")
-
-
-def unpack(x: bytes, kind: type) -> np.ndarray:
-    n, size = int.from_bytes(x[:8], "little"), np.dtype(kind).itemsize
-    if not n:
-        return np.zeros(0, kind)
-    raw = pa.decompress(x[8:], decompressed_size=n * size, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
-
-
 @dataclass
 class Level:
     keys: np.ndarray  # sorted, of the block's distinct n-grams
@@ -331,11 +317,15 @@ def katz_scores(docs: DataFrame, train: str, *, doc: str = "doc_id", text: str =
         asked = held.mapInArrow(counts_asked(order, bits), ASK)
         told = written(asked.groupBy("level", "part").applyInArrow(count_part, TOLD), "counts")
         model = model_of(told, order)
+        del asked
+        released(spark)
         answers = told.where("block >= 0")
         by_block = lambda: held.groupBy("block").cogroup(answers.groupBy("block"))
         for n in range(2, order + 1):
             asked = by_block().applyInArrow(weights_asked(model, n, bits), ASK)
             answers = answers.union(written(asked.groupBy("level", "part").applyInArrow(weigh_part, TOLD), "weights"))
+            del asked
+            released(spark)
         schema = f"doc {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
         scores = written(by_block().applyInArrow(score_block(model, kind), schema), "scores")
     finally:
