@@ -6,6 +6,7 @@ blocked pages and follows links backwards, to the hosts that point at them. Only
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,8 @@ from ._shared import BROADCAST_ROWS, kept_names, lower_ascii, packed, unpacked,
 
 #: A link to another host in HTML: with a scheme or relative to it.
 LINK = r"(?i)href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s<>]+)"
+#: Distance of the ranks from converged ones, as a part of the mean rank of a host.
+SETTLED = 1e-2
 OUT = ("host", "path", "rule", "verdict", "trust", "distrust")
 
 
@@ -65,32 +68,59 @@ def html_safe(name: str) -> str:
     return f"`{name}`"
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 8, cut_every: int = 4) -> DataFrame:
+def personalised_rank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-6, cut_every: int = 4) -> DataFrame:
     """(kind, host, rank): PageRank of each kind from its seeds (kind, host). Mass of hosts without edges goes back to the seeds.
 
-    ``edges``: (kind, src, dst, weight). Lineage is cut every few rounds by a table in the shared folder.
+    ``edges``: (kind, src, dst, weight). Rounds go on until the ranks of a kind are together at most ``tolerance`` away from the converged ones;
+    ``rounds`` makes it so many rounds of power iteration instead. Lineage is cut every few rounds by a table in the shared folder.
     """
+    if not 0 < damping < 1:
+        raise ValueError("damping lies between 0 and 1")
     out = edges.groupBy("kind", "src").agg(F.sum("weight").alias("all"))
     edges = written(edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("all")).alias("part")), "edges")
     sizes = seeds.groupBy("kind").agg((1.0 / F.count("*")).alias("seed"))  # a row for each kind
     seeds = written(seeds.join(F.broadcast(sizes), "kind").select("kind", "host", "seed"), "seeds")
-    ranks = seeds.withColumnRenamed("seed", "rank")
-    for k in range(rounds):
+    ranks = before = seeds.withColumnRenamed("seed", "rank")
+    # Converged ranks are in proportion to the sum of all that a unit of seeds sends on, round after round. A round shrinks the rest of
+    # that sum, damping / (1 - damping) at most, to its damping part or less; scaling to 1 at most doubles the error.
+    shrunk = damping**cut_every
+    enough = math.log(tolerance * (1 - shrunk) * (1 - damping) / (2 * shrunk * damping)) / math.log(damping)
+    most = rounds if rounds is not None else cut_every * (2 + max(1, math.ceil(enough / cut_every)))
+    for k in range(most):
         moved = ranks.join(edges.withColumnRenamed("src", "host"), ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("part") * damping).alias("rank"))
-        moved = moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        flow = moved.groupBy("kind").agg(F.sum("rank").alias("flow"))
-        back = seeds.join(F.broadcast(flow), "kind", "left").select("kind", "host", (F.col("seed") * (1.0 - F.coalesce("flow", F.lit(0.0)))).alias("rank"))
+        if rounds is None:
+            back = seeds.withColumnRenamed("seed", "rank")
+        else:
+            moved = moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            flow = moved.groupBy("kind").agg(F.sum("rank").alias("flow"))
+            back = seeds.join(F.broadcast(flow), "kind", "left").select("kind", "host", (F.col("seed") * (1.0 - F.coalesce("flow", F.lit(0.0)))).alias("rank"))
         ranks = moved.union(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if (k + 1) % cut_every == 0:
             ranks = written(ranks, "ranks")
-    return ranks
-
-
-def judge_urls(pages: DataFrame, rules: list[Rule], *, url: str = "url", html: str = "html", factor: float = 1.0, rounds: int = 8, damping: float = 0.85) -> DataFrame:
+            if rounds is None:
+                if _distance(ranks, before) * shrunk / (1 - shrunk) <= tolerance / 2:
+                    break
+                before = ranks
+    else:
+        if rounds is None:
+            raise RuntimeError("ranks did not settle")
+        return ranks
+    whole = ranks.groupBy("kind").agg(F.sum("rank").alias("whole"))
+    return ranks.join(F.broadcast(whole), "kind").select("kind", "host", (F.col("rank") / F.col("whole")).alias("rank"))
+
+
+def _distance(a: DataFrame, b: DataFrame) -> float:
+    """The summed difference of two (kind, host, rank) as a part of the sum of ``a``, of the kind where it is largest."""
+    both = a.select("kind", "host", "rank", F.lit(0.0).alias("was")).union(b.select("kind", "host", F.lit(0.0), "rank"))
+    both = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"))
+    return both.groupBy("kind").agg((F.sum(F.abs(F.col("rank") - F.col("was"))) / F.sum("rank")).alias("part")).agg(F.max("part")).first()[0] or 0.0
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule], *, url: str = "url", html: str = "html", factor: float = 1.0, rounds: int | None = None, damping: float = 0.85) -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (the longest that fits, or null), ``verdict``, ``trust`` and ``distrust``.
 
     Verdict: the rule's; without one, block if the host's distrust is above its trust and above ``factor`` times the
-    mean over all hosts, else allow. Seeds are the hosts of pages that an allow (trust) or block (distrust) rule fits.
+    mean over all hosts, else allow; ranks are converged unless ``rounds`` limits them. Seeds are the hosts of pages that an allow (trust) or block (distrust) rule fits.
     Null urls, or urls without ``://``, have an empty host, fit no rule and are allowed; null HTML has no links.
     Repeated pages are judged one by one alike. Without seeds nobody has trust or distrust. Input columns named like
     an output are replaced. Two rules of equal length that both fit: the first given wins.
@@ -108,8 +138,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, url: str = "url", html: s
     edges = written(host_edges(pages, url, html), "links")
     kinds = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight").union(edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "weight"))
     seeds = hosts.where("good").select(F.lit("trust").alias("kind"), "host").union(hosts.where("bad").select(F.lit("distrust"), F.col("host")))
-    ranks = personalised_rank(kinds, seeds, damping=damping, rounds=rounds)
     n_hosts = hosts.count()
+    ranks = personalised_rank(kinds, seeds, damping=damping, rounds=rounds, tolerance=SETTLED / max(1, n_hosts))
     scores = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"))
     scores = scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     if n_hosts <= BROADCAST_ROWS:  # else by shuffle, where adaptive execution splits hot hosts
