@@ -295,7 +295,7 @@ def _spline_sql() -> str:
 SELECT b[u] AS bin, round(m[u], 4) AS x, round(beta[1] + beta[2] * m[u] / 1000 + list_sum([beta[2 + j] * greatest(0, m[u] - k[j]) / 1000 FOR j IN range(1, 6)]), 4) AS fit FROM fit, kn, range(1, 7) q(u)"""
 
 
-QUERIES["binscatter_11"] = _points(["x", "fit"], points=(1, 1), strategy="moments")
+QUERIES["binscatter_11"] = _points(["x", "fit"], points=(1, 1), strategy="moments", randcut=1.0)
 ORACLES["binscatter_11"] = _spline_sql()
 _bin_x = ["1", *(f"CASE WHEN bin = {b} THEN 1.0 ELSE 0.0 END" for b in range(2, 7)), "l_discount", *(_dummy(*f) for f in _qty)]
 

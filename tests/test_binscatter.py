@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from regrove.operators import binscatter as B
 from regrove.operators.binscatter import binscatter, equal_width_bins, manual_bins, ntile_bins
+from regrove.queries import queries
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +89,14 @@ def test_breaks_from_a_sample(noisy, monkeypatch):
     with pytest.warns(UserWarning, match="sample"):
         s = binscatter("y ~ x", table=df, nbins=4, randcut=0.5, points=(1, 1))
     assert s.opt["N"] < 600
+
+
+def test_registered_spline_takes_all_rows(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(1000, 90000, 2000)
+    spark.createDataFrame(pd.DataFrame({"l_extendedprice": x, "l_quantity": x / 2000 + rng.normal(size=2000)})).write.parquet(str(tmp_path / "lineitem.parquet"))
+    query = queries()["binscatter_11"]
+    whole = query(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(B, "SAMPLE_ABOVE", 1000)
+    monkeypatch.setattr(B, "SAMPLE_LEAST", 100)
+    assert query(spark, str(tmp_path)).collect() == whole
