@@ -52,6 +52,13 @@ def released(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what an Arrow batch holds, where the session leaves that at its default: a batch is held in the JVM and in Python at once."""
+    for key, default, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304")):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` less the columns that outputs of these names replace (names compare as Spark does, without case)."""
     low = {n.lower() for n in names}

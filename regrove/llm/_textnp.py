@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
@@ -42,6 +43,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def trim() -> None:
+    """Gives memory that is free now back to the system: a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of texts of at most ``most`` bytes, or of one longer text; null: empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -81,8 +81,9 @@ def brute_components(texts):
 
 def test_jaccard_join(docs, texts, monkeypatch):
     want = brute_components(texts)
-    for block in (2048, 3):
-        monkeypatch.setattr(jaccard, "BLOCK", block)
+    for small, block, whole, few in ((256, 16_384, 64, 2), (4, 3, 3, 0.2), (2, 5, 2, 0)):
+        for name, value in (("SMALL", small), ("BLOCK", block), ("WHOLE", whole), ("FEW", few), ("FANOUT", 16 if small > 2 else 3), ("PARTNERS", 1000 if small > 2 else 2)):
+            monkeypatch.setattr(jaccard, name, value)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
         assert got == want
 
@@ -100,11 +101,18 @@ def test_tree_bounds_lose_nothing():
     points = rng.poisson(1.0, (150, jaccard.GROUPS))
     points[75:] = np.maximum(points[:75] + rng.integers(-1, 2, (75, jaccard.GROUPS)) * (rng.random((75, jaccard.GROUPS)) < 0.05), 0)
     sizes = points.sum(1)
-    tree = jaccard.Tree(points, sizes)
-    found = {(int(a), int(b)) for i, j, _ in tree.join(tree, 75, 100) for a, b in zip(i, j)}
     bound = np.minimum(points[:, None], points[None]).sum(2)
-    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(175 * bound >= 75 * (sizes[:, None] + sizes[None])))}
-    assert found == want and (0, 75) in want
+    near = 175 * bound >= 75 * (sizes[:, None] + sizes[None])
+    for component in (np.arange(150), np.arange(150) // 3, rng.integers(0, 4, 150)):
+        tree = jaccard.Tree(points, sizes, component)
+        want = {(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if component[a] != component[b]}
+        found = [(int(a), int(b)) for i, j, _ in tree.join(tree, 75, 100) for a, b in zip(i, j)]
+        assert {(min(p), max(p)) for p in found} == {p for p in want if p[0] < p[1]} and len(found) == len(set(found))
+        half = [jaccard.Tree(points[a : a + 75], sizes[a : a + 75], component[a : a + 75]) for a in (0, 75)]
+        found = {(int(a), int(b) + 75) for i, j, _ in half[0].join(half[1], 75, 100) for a, b in zip(i, j)}
+        assert found == {p for p in want if p[0] < 75 <= p[1]}
+        assert {(min(p), max(p)) for i, j, _ in tree.leaves(75, 100) for p in zip(i.tolist(), j.tolist())} <= want
+    assert near[0, 75]
 
 
 def test_components(spark):
