@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -20,10 +21,14 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. A local session may do without it and gets a temporary one; on a cluster that raises."""
     sc = spark.sparkContext
     if not (folder := sc.getCheckpointDir()):
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="regrove-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="regrove-")
         sc.setCheckpointDir(folder)
         folder = sc.getCheckpointDir() or folder
     return folder
@@ -76,6 +81,11 @@ def packed(df: DataFrame, *drop: str) -> Column:
     return F.struct(*keep) if keep else F.struct(F.lit(None).cast("int").alias("_"))
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` that can be hashed: all but those that hold maps or variants."""
+    return [F.col(quoted(n)) for n, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+
+
 def unpacked(df: DataFrame, names: list[str], row: str = "_row") -> list[Column]:
     return [F.col(row).getField(n).alias(n) for n in names]
 
@@ -109,13 +119,14 @@ def longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
 
-def rank_in(key: Column, bounds: list[int]) -> Column:
-    """How many of the ascending ``bounds`` are at most ``key``: a binary search inside the row."""
+def rank_in(key: Column, bounds: list, held: Column | None = None) -> Column:
+    """How many of the ascending ``bounds`` are at most ``key``: a binary search inside the row. ``held``: the bounds as an array, if they are not integers."""
     if not bounds:
         return F.lit(0)
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    held = longs(bounds + [(1 << 63) - 1] * ((1 << len(bounds).bit_length()) - 1 - len(bounds)))
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.element_at(held, at + step) <= key, at + step).otherwise(at))
+    held = longs(bounds) if held is None else held
+    fits = lambda at, step: (at + step <= len(bounds)) & (F.get(held, at + step - 1) <= key)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
 
 
 def pack(a: np.ndarray) -> bytes:
