@@ -94,15 +94,16 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     both = both.withColumn("edited", edited)
     out = syncmers.fingerprints(both, {"own": F.col("text"), "edited": F.col("edited"), "next": F.col("next_text")})
-    return out.select(
+    out = out.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         syncmers.fingerprint_text(F.col("own_anchors")).alias("fingerprint"),
         syncmers.fingerprint_text(F.col("edited_anchors")).alias("edited_fingerprint"),
-        syncmers.likeness(F.col("own_set"), F.col("edited_set")).alias("near_edited"),
-        syncmers.likeness(F.col("own_set"), F.col("next_set")).alias("near_next"),
+        *("own_anchors", "edited_anchors", "next_anchors"),
     )
+    out = syncmers.alike(out, {"near_edited": ("own_anchors", "edited_anchors"), "near_next": ("own_anchors", "next_anchors")})
+    return out.drop("own_anchors", "edited_anchors", "next_anchors")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,27 @@
 """Document fingerprints by closed syncmers: windows of k tokens whose minimal inner s-token substring lies at an edge.
 
 Whether a window is chosen depends on its own tokens only, so the same passage gives the same anchors wherever it
-stands. Only DataFrame functions are used; a text is handled inside its row, without exploding it.
+stands, about 2 / (k - s + 1) of its windows. Before a text stand k - 1 blanks, whose inner substrings count as least, so that
+the first windows are anchors and texts shorter than a window have some. Anchors are matched by their positions: those of
+two texts that agree in their hash and lie on one diagonal. Only DataFrame functions are used; a text is handled inside its row, without exploding it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ._shared import kept_names, packed, rank_in, unpacked
+from ._shared import kept_names, packed, quoted, rank_in, unpacked
 
 #: Tokens of a window, and of its inner substrings.
-K, S = 4, 2
-#: Rows of one range of ids, and ranges at most.
-RANGE_ROWS, MAX_RANGES = 4096, 10_000
+K, S = 8, 2
+#: Bits of an anchor's hash.
+HASH_BITS = 48
+#: Diagonals (position in one text less position in the other) that a band holds; bands overlap by halves.
+BAND = 32
+#: Rows of one range of ids, and ranges at most: from RANGE_ROWS * MAX_RANGES rows on, ranges grow with the input.
+RANGE_ROWS, MAX_RANGES, MAX_OTHER_RANGES = 4096, 10_000, 500
 
 
 def tokens(text: Column, unit: str = "word") -> Column:
@@ -24,18 +31,20 @@ def tokens(text: Column, unit: str = "word") -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def padded(words: Column, k: int = K) -> Column:
+    """The tokens after k - 1 blanks; no tokens: none."""
+    return F.when(F.size(words) > 0, F.concat(F.array_repeat(F.lit(""), k - 1), words)).otherwise(words)
+
+
 def inner_hashes(words: Column, s: int = S) -> Column:
-    """A hash of every run of ``s`` tokens."""
+    """A hash of every run of ``s`` tokens; of blanks only: the least number."""
     n = F.size(words) - (s - 1)
-    hashed = lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(s)])
+    hashed = lambda i: F.when(F.get(words, i + (s - 1)) == "", F.lit(-(1 << 63))).otherwise(F.xxhash64(*[F.get(words, i + j) for j in range(s)]))
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), hashed)).otherwise(F.array().cast("array<bigint>"))
 
 
-def closed_syncmers(inner: Column, words: Column, k: int = K, s: int = S) -> Column:
-    """(at, hash) of each window of ``k`` tokens whose minimal inner hash is its first or its last.
-
-    A text of fewer than ``k`` tokens is one window; one without tokens has none.
-    """
+def closed_syncmers(inner: Column, k: int = K, s: int = S) -> Column:
+    """(at, hash) of each window of ``k`` tokens whose minimal inner hash is its first or its last; ``at``: its last token, from 0."""
     width = k - s + 1
     n = F.size(inner) - (width - 1)
     at = lambda i, j: F.get(inner, i + j)
@@ -49,10 +58,9 @@ def closed_syncmers(inner: Column, words: Column, k: int = K, s: int = S) -> Col
 
     # Inner hashes s tokens apart, and the last, cover the whole window.
     cover = sorted({*range(0, width, s), width - 1})
-    window = lambda i: F.struct(i.alias("at"), F.xxhash64(*[at(i, j) for j in cover]).alias("hash"))
+    window = lambda i: F.struct(i.alias("at"), F.shiftrightunsigned(F.xxhash64(*[at(i, j) for j in cover]), 64 - HASH_BITS).alias("hash"))
     some = F.transform(F.filter(F.sequence(F.lit(0), n - 1), edge), window)
-    short = F.when(F.size(words) > 0, F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.concat_ws(" ", words)).alias("hash")))).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
-    return F.when(n > 0, some).otherwise(short)
+    return F.when(n > 0, some).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
 
 def fingerprint_text(anchors: Column) -> Column:
@@ -60,31 +68,62 @@ def fingerprint_text(anchors: Column) -> Column:
     return F.array_join(F.transform(anchors, lambda a: F.concat_ws(":", F.hex(a["at"].cast("long")), F.hex(a["hash"]))), ",")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of two hash sets; two empty ones are alike, an empty one and another are not."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.coalesce(F.try_divide(both.cast("double"), either.cast("double")), F.lit(1.0))
+def likeness(both: Column, a: Column, b: Column) -> Column:
+    """How many anchors of a and b agree in hash and lie in one band of diagonals, the best, as a part of all.
+
+    ``a`` and ``b``: the first anchor of each hash; ``both``: sorted differences in position of those they share. Two texts without anchors are alike, one without and another are not.
+    """
+    start = F.struct(*[F.lit(0).alias(n) for n in ("best", "low", "n_low", "high", "n_high")], F.lit(False).alias("any"))
+
+    def step(held: Column, d: Column) -> Column:
+        low, high = F.floor(d / BAND).cast("int"), F.floor((d + BAND // 2) / BAND).cast("int")
+        n_low = F.when(held["any"] & (held["low"] == low), held["n_low"] + 1).otherwise(1)
+        n_high = F.when(held["any"] & (held["high"] == high), held["n_high"] + 1).otherwise(1)
+        return F.struct(F.greatest(held["best"], n_low, n_high).alias("best"), low.alias("low"), n_low.alias("n_low"), high.alias("high"), n_high.alias("n_high"), F.lit(True).alias("any"))
+
+    best = F.aggregate(both, start, step, lambda held: held["best"])
+    return F.coalesce(F.try_divide(best.cast("double"), (F.size(a) + F.size(b) - best).cast("double")), F.lit(1.0))
 
 
 def fingerprints(df: DataFrame, texts: dict[str, Column], *, k: int = K, s: int = S, unit: str = "word") -> DataFrame:
-    """``df`` with, for each named text, ``<name>_anchors`` (array of at, hash) and ``<name>_set`` (distinct hashes).
+    """``df`` with, for each named text, ``<name>_anchors`` (array of at, hash).
 
     Equal texts have equal anchors; null texts count as empty and have none. Texts of any length stay within
     their row. Repeated rows are handled one by one. Input columns named like an output are replaced.
     """
-    outs = [f"{n}_{x}" for n in texts for x in ("anchors", "set")]
+    outs = [f"{n}_anchors" for n in texts]
     names = kept_names(df, *outs)
     out = df.select(packed(df, *outs).alias("_row"), *[tokens(c, unit).alias(f"_{n}_words") for n, c in texts.items()])
-    out = out.select("_row", *[F.col(f"_{n}_words") for n in texts], *[inner_hashes(F.col(f"_{n}_words"), s).alias(f"_{n}_inner") for n in texts])
-    out = out.select("_row", *[closed_syncmers(F.col(f"_{n}_inner"), F.col(f"_{n}_words"), k, s).alias(f"{n}_anchors") for n in texts])
-    return out.select(*unpacked(out, names), *[F.col(f"{n}_anchors") for n in texts], *[F.array_distinct(F.col(f"{n}_anchors.hash")).alias(f"{n}_set") for n in texts])
+    out = out.select("_row", *[padded(F.col(f"_{n}_words"), k).alias(f"_{n}_padded") for n in texts])
+    out = out.select("_row", *[inner_hashes(F.col(f"_{n}_padded"), s).alias(f"_{n}_inner") for n in texts])
+    out = out.select("_row", *[closed_syncmers(F.col(f"_{n}_inner"), k, s).alias(f"{n}_anchors") for n in texts])
+    return out.select(*unpacked(out, names), *outs)
+
+
+def alike(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """``df`` with, for each name in ``pairs``, the likeness of two columns of anchors. Input columns named like an output are replaced."""
+    names = kept_names(df, *pairs)
+    sides = sorted({c for pair in pairs.values() for c in pair})
+    out = df.select(packed(df, *pairs).alias("_row"), *[F.array_sort(F.transform(F.col(quoted(c)), lambda a: F.struct(a["hash"].alias("hash"), a["at"].alias("at")))).alias(f"_{c}") for c in sides])
+    new = lambda c: F.filter(F.col(f"_{c}"), lambda a, i: (i == 0) | (F.get(F.col(f"_{c}"), i - 1)["hash"] != a["hash"]))
+    out = out.select("_row", *[new(c).alias(f"_{c}") for c in sides])
+    side = lambda c, n: F.transform(F.col(f"_{c}"), lambda e: F.struct(e["hash"].alias("hash"), F.lit(n).alias("side"), e["at"].alias("at")))
+    out = out.select("*", *[F.array_sort(F.concat(side(a, 0), side(b, 1))).alias(f"_{n}_both") for n, (a, b) in pairs.items()])
+
+    def shared(both: Column) -> Column:  # neighbours of equal hash: one of either text
+        next_ = lambda i: F.get(both, i + 1)
+        at = F.filter(F.sequence(F.lit(0), F.size(both) - 1), lambda i: (F.get(both, i)["side"] == 0) & (F.get(both, i)["hash"] == next_(i)["hash"]))
+        return F.when(F.size(both) > 1, F.array_sort(F.transform(at, lambda i: next_(i)["at"] - F.get(both, i)["at"]))).otherwise(F.array().cast("array<int>"))
+
+    out = out.select("_row", *[f"_{c}" for c in sides], *[shared(F.col(f"_{n}_both")).alias(f"_{n}_both") for n in pairs])
+    return out.select(*unpacked(out, names), *[likeness(F.col(f"_{n}_both"), F.col(f"_{a}"), F.col(f"_{b}")).alias(n) for n, (a, b) in pairs.items()])
 
 
 def with_next(df: DataFrame, order: str, text: str, name: str = "next_text", *, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with the text of the row that follows in ``order`` (ties by text; null first), after the last that of the first.
 
     Rows go to ranges of ``order`` and are followed up within each; the first row of each range is handed to the range before,
-    so no task sees more than its range. An only row is followed by itself. Equal rows follow one another. No rows: no rows.
+    so no task sees more than its range. ``order`` may have any numeric type; ids of other types are ranged by a sample of them. An only row is followed by itself. Equal rows follow one another. No rows: no rows.
     """
     names = kept_names(df, name)
     ids = df.select(F.col(order).alias("_id"))
@@ -92,9 +131,16 @@ def with_next(df: DataFrame, order: str, text: str, name: str = "next_text", *,
     if not n:
         return df.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast("string").alias(name))
     m = min(MAX_RANGES, max(1, n // range_rows))
-    cuts = ids.agg(F.percentile_approx("_id", F.lit([k / m for k in range(1, m)]), F.lit(10 * m)).alias("cuts")).first()[0] if m > 1 else []
-    bounds = sorted({int(x) for x in cuts or [] if x > low})
-    where = F.coalesce(rank_in(F.col("_id"), bounds), F.lit(0))
+    kind = ids.schema["_id"].dataType
+    if isinstance(kind, IntegralType):
+        cuts = ids.agg(F.percentile_approx("_id", F.lit([k / m for k in range(1, m)]), F.lit(10 * m)).alias("cuts")).first()[0] if m > 1 else []
+        bounds = sorted({int(x) for x in cuts or [] if x > low})
+        where = F.coalesce(rank_in(F.col("_id"), bounds), F.lit(0))
+    else:
+        m = min(m, MAX_OTHER_RANGES)
+        drawn = ids.where("_id is not null").sample(min(1.0, 100 * m / n), seed=1).orderBy("_id").collect() if m > 1 else []
+        bounds = sorted({drawn[k * len(drawn) // m][0] for k in range(1, m) if drawn} - {low})
+        where = F.coalesce(rank_in(F.col("_id"), bounds, F.array(*[F.lit(x).cast(kind) for x in bounds])), F.lit(0)) if bounds else F.lit(0)
     rows = df.select(packed(df, name).alias("_row"), F.col(order).alias("_id"), F.col(text).alias("_text")).withColumn("_range", where)
     # The first of each range, at most MAX_RANGES rows: least id, then least text.
     least = rows.groupBy("_range").agg(F.min("_id").alias("_least"), F.max(F.col("_id").isNull()).alias("_null"))
