@@ -72,7 +72,8 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.
     """(kind, host, rank): PageRank of each kind from its seeds (kind, host). Mass of hosts without edges goes back to the seeds.
 
     ``edges``: (kind, src, dst, weight). Rounds go on until the ranks of a kind are together at most ``tolerance`` away from the converged ones;
-    ``rounds`` makes it so many rounds of power iteration instead. Lineage is cut every few rounds by a table in the shared folder.
+    ``rounds`` makes it so many rounds of power iteration instead. Lineage is cut every few rounds (with
+    ``rounds``, in each) by a table in the shared folder, so that a plan never grows with the number of rounds.
     """
     if not 0 < damping < 1:
         raise ValueError("damping lies between 0 and 1")
@@ -91,16 +92,15 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, *, damping: float = 0.
         if rounds is None:
             back = seeds.withColumnRenamed("seed", "rank")
         else:
-            moved = moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            moved = written(moved.groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "moved")  # read twice
             flow = moved.groupBy("kind").agg(F.sum("rank").alias("flow"))
             back = seeds.join(F.broadcast(flow), "kind", "left").select("kind", "host", (F.col("seed") * (1.0 - F.coalesce("flow", F.lit(0.0)))).alias("rank"))
         ranks = moved.union(back).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if (k + 1) % cut_every == 0:
+        if rounds is None and (k + 1) % cut_every == 0:
             ranks = written(ranks, "ranks")
-            if rounds is None:
-                if _distance(ranks, before) * shrunk / (1 - shrunk) <= tolerance / 2:
-                    break
-                before = ranks
+            if _distance(ranks, before) * shrunk / (1 - shrunk) <= tolerance / 2:
+                break
+            before = ranks
     else:
         if rounds is None:
             raise RuntimeError("ranks did not settle")
@@ -129,7 +129,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, url: str = "url", html: s
     page = pages.select(packed(pages, *OUT).alias("_row"), url_host(F.col(html_safe(url))).alias("host"), url_path(F.col(html_safe(url))).alias("path"))
     chosen = F.lit(None).cast("string")
     verdict = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: len(r.pattern)):
+    for rule in sorted(reversed(rules), key=lambda r: len(r.pattern)):  # what comes later goes before
         fits = rule.fits(F.col("host"), F.col("path"))
         chosen, verdict = F.when(fits, rule.pattern).otherwise(chosen), F.when(fits, rule.verdict).otherwise(verdict)
     slim = pages.select(url_host(F.col(html_safe(url))).alias("host"), url_path(F.col(html_safe(url))).alias("path")).withColumn("verdict", verdict)
@@ -142,6 +142,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, url: str = "url", html: s
     ranks = personalised_rank(kinds, seeds, damping=damping, rounds=rounds, tolerance=SETTLED / max(1, n_hosts))
     scores = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("distrust"))
     scores = scores.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    scores = written(scores.join(hosts, "host", "left_semi"), "scores")  # linked hosts without pages have no row to judge
     if n_hosts <= BROADCAST_ROWS:  # else by shuffle, where adaptive execution splits hot hosts
         scores = F.broadcast(scores)
     t, d = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
