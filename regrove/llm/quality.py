@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _textnp as tn
-from ._shared import unit
+from ._shared import quoted, small_batches, unit
 
 #: Buckets that words and n-grams are hashed into, size of their vectors, and bytes of an n-gram.
 BUCKETS_LOG2, DIM, GRAMS = 17, 16, (3, 4)
@@ -103,29 +103,32 @@ def train(texts: list[str | None], labels: np.ndarray, *, epochs: int = 5, rate:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "quality", most: int = MAX_TRAIN) -> Model:
     """A model of ``labels`` (doc_id and ``label``, 0 or 1) on at most about ``most`` documents for which ``usable`` (of doc_id) holds.
 
-    Null ids and labels teach nothing; neither do labels without a document. Repeated rows count as often as they stand there.
+    Null ids and labels teach nothing; neither do labels without a document. Repeated rows count as often as they stand there. Rows are
+    taken in order of id, label and text, so that reruns train the same model.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col(label).cast("int").alias("_label"))
     chosen = unit(F.lit(31), F.col("doc_id")) < min(1.0, most / max(1, known.count()))
-    rows = docs.where(chosen).select("doc_id", "text").join(known.where(chosen), "doc_id").orderBy("doc_id", "_label").toPandas()
+    rows = docs.where(chosen).select("doc_id", "text").join(known.where(chosen), "doc_id").orderBy("doc_id", "_label", "text").toPandas()
     return train(rows["text"].tolist(), rows["_label"].to_numpy())
 
 
 def score(df: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:
     """``df`` (its text left out) with the probability of label 1 as ``name``; empty and null texts get the score of no features."""
+    small_batches(df.sparkSession)
     parts, constant = model.folded()
     shared = df.sparkSession.sparkContext.broadcast(parts)
     others = [c for c in df.columns if c.lower() not in (text.lower(), name.lower())]
-    schema = df.select(*[F.col(f"`{c}`") for c in others], F.lit(0.0).alias(name)).schema
+    schema = df.select(*[F.col(quoted(c)) for c in others], F.lit(0.0).alias(name)).schema
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for a, b, data, offsets in tn.chunks(batch.column(text)):
+            for a, b, data, offsets in tn.chunks(batch.column(len(others))):
                 bucket, doc = features(data, offsets)
                 total = np.bincount(doc, held[bucket], minlength=b - a)
                 out[a:b] = total / np.maximum(1, np.bincount(doc, minlength=b - a)) + constant
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(tn.sigmoid(out))], [*others, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), pa.array(tn.sigmoid(out))], [*others, name])
+        tn.trim()
 
-    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string").alias(text)).mapInArrow(scored, schema)
+    return df.select(*[F.col(quoted(c)) for c in others], F.col(quoted(text)).cast("string").alias("_text")).mapInArrow(scored, schema)

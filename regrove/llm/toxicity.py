@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _textnp as tn
-from ._shared import unit
+from ._shared import quoted, small_batches, unit
 
 BUCKETS_LOG2 = 18
 #: Bytes at the beginning and at the end of a word that make features.
@@ -196,46 +196,51 @@ def train(texts: list[str | None], toxic: np.ndarray, *, epochs: int = 6, rate:
         p = tn.sigmoid(x @ law)
         law -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(4), x.T @ (p - toxic) + 0.5 * law)
     model.law = law
+    del tok, features, batches, x
+    tn.trim()
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", most: int = MAX_TRAIN) -> Model:
     """A model of ``labels`` (doc_id and ``label``, 0 or 1) on at most about ``most`` documents for which ``usable`` (of doc_id) holds.
 
-    Null ids and labels teach nothing; neither do labels without a document. Repeated rows count as often as they stand there.
+    Null ids and labels teach nothing; neither do labels without a document. Repeated rows count as often as they stand there. Rows are
+    taken in order of id, label and text, so that reruns train the same model.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col(label).cast("int").alias("_label"))
     chosen = unit(F.lit(32), F.col("doc_id")) < min(1.0, most / max(1, known.count()))
-    rows = docs.where(chosen).select("doc_id", "text").join(known.where(chosen), "doc_id").orderBy("doc_id", "_label").toPandas()
+    rows = docs.where(chosen).select("doc_id", "text").join(known.where(chosen), "doc_id").orderBy("doc_id", "_label", "text").toPandas()
     return train(rows["text"].tolist(), rows["_label"].to_numpy())
 
 
 SPAN = "array<struct<start:bigint,stop:bigint>>"
 
 
-def tag(df: DataFrame, model: Model, *, text: str = "text", keep_text: bool = False) -> DataFrame:
+def tag(df: DataFrame, model: Model, *, text: str = "text", keep_text: bool = False, score: str = "score", spans: str = "spans") -> DataFrame:
     """``df`` (its text left out, unless ``keep_text``) with ``score`` and ``spans``, the code points of each run of toxic words.
 
-    ``score``: the probability that the document is toxic, from its words' marginals; empty and null texts get the score of no words and no
-    spans. Input columns named like an output are replaced.
+    The score is the probability that the document is toxic, from its words' marginals; empty and null texts get the score of no words and no
+    spans. Input columns named like an output are replaced; ``score`` and ``spans`` name the outputs.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in df.columns if c.lower() not in ("score", "spans") and (keep_text or c.lower() != text.lower())]
-    schema = df.select(*[F.col(f"`{c}`") for c in others], F.lit(0.0).alias("score"), F.lit(None).cast(SPAN).alias("spans")).schema
+    others = [c for c in df.columns if c.lower() not in (score.lower(), spans.lower()) and (keep_text or c.lower() != text.lower())]
+    schema = df.select(*[F.col(quoted(c)) for c in others], F.lit(0.0).alias(score), F.lit(None).cast(SPAN).alias(spans)).schema
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, spans = [], []
-            for _, _, data, offsets in tn.chunks(batch.column(batch.num_columns - 1)):
+            scores, found = [], []
+            for _, _, data, offsets in tn.chunks(batch.column(len(others))):
                 tok = tokens(data, offsets)
                 odds = marginals(tok, shared.value)
                 scores.append(tn.sigmoid(summary(odds, tok.first) @ shared.value.law))
-                spans += offending(data, offsets, tok, odds)
-            out = [pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(spans, kind)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *out], [*others, "score", "spans"])
+                found += offending(data, offsets, tok, odds)
+            out = [pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(found, kind)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(others))), *out], [*others, score, spans])
+        tn.trim()
 
-    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string").alias("_text")).mapInArrow(tagged, schema)
+    return df.select(*[F.col(quoted(c)) for c in others], F.col(quoted(text)).cast("string").alias("_text")).mapInArrow(tagged, schema)
 
 
 def offending(data: np.ndarray, offsets: np.ndarray, tok: Tokens, odds: np.ndarray) -> list[list[dict]]:
