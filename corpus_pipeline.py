@@ -9,29 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regrove.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from regrove.llm._shared import BROADCAST_ROWS, remainder, word_count, written
+from regrove.llm._shared import BROADCAST_ROWS, hashable, remainder, word_count, written
 
 N_SHARDS = 16
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores before it, so that no column of ``docs`` has it."""
+    held = {c.lower() for c in docs.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the random field scores below a half; trained on those of them that have labels and a non-zero id remainder."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(F.col("doc_id"), 5) != 0)
-    return toxicity.tag(docs, model, keep_text=True).where("score < 0.5").select(*docs.columns)
+    score, spans = fresh(docs, "score"), fresh(docs, "spans")
+    return toxicity.tag(docs, model, keep_text=True, score=score, spans=spans).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the least id; documents without an id stay. Repeated rows of one id and text count as copies."""
-    groups = written(jaccard.jaccard_components(docs), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    again = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies, that with the least id (of equal ids, the least hash of the text; null ids last).
+
+    Texts without words belong to no group and all stay. Rows are told apart by id and text, so ids may repeat.
+    """
+    groups = written(jaccard.jaccard_groups(docs), "groups")
+    doc, text = fresh(docs, "_doc"), fresh(docs, "_hash")
+    names = lambda rows: rows.select(F.col("doc").alias(doc), F.col("hash").alias(text))
+    mine = (F.col("doc_id").eqNullSafe(F.col(doc))) & (F.xxhash64("text") == F.col(text))
+    few = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    gone = written(names(groups.where("not first")).distinct(), "gone")
+    kept = docs.join(few(gone), mine, "left_anti")
+    again = groups.where("first and component is not null").groupBy("doc", "hash").agg(F.count("*").alias("n")).where("n > 1")
+    again = written(names(again), "again")
     if again.isEmpty():
         return kept
-    repeated = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(repeated.select(*docs.columns))
+    one = kept.join(few(again), mine).groupBy(doc, text).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashable(docs))).alias("_row")).select("_row.*")
+    return kept.join(few(again), mine, "left_anti").select(*docs.columns).union(one.select(*docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +56,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of the mix; a document that it repeats stands there as often."""
-    return mixing.held(mixing.mix(docs, F.col("source"), word_count(F.col("text")), F.col("doc_id")))
+    return mixing.held(docs, F.col("source"), word_count(F.col("text")), F.col("doc_id"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +72,7 @@ STAGES = [
     ("mixing sources to target weights", mix_sources),
     ("sharding", shard),
 ]
-#: The first stage is a trained model, which SQL cannot express; a test holds the pipeline against brute force.
+#: The first stage is a trained model, which SQL cannot express; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
