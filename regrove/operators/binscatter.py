@@ -7,12 +7,15 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tdist import t_quantile
 from ..plans.formula import Formula, parse_formula
@@ -20,10 +23,10 @@ from ..sources.relation import complete_rows, relation
 from .regress import parse_vcov, regress
 from .result import RegressionResult
 
-#: Rows above which breaks are computed on a sample, the share of it, and the least size of a sample.
-SAMPLE_ABOVE, SAMPLE_SHARE, SAMPLE_LEAST = 1_000_000, 0.01, 10_000
-#: Rows up to which quantile bins are one global window; more are numbered range by range.
-WINDOW_ROWS = 1_000_000
+#: Rows of a sample at least.
+SAMPLE_LEAST = 10_000
+#: Rows up to which quantile bins are one window; of more, only where the bins begin is looked for, by counts between so many splitters.
+WINDOW_ROWS, SPLITTERS = 1_000_000, 1000
 
 
 @dataclass
@@ -78,32 +81,118 @@ class BinscatterResult:
 def ntile_bins(df: DataFrame, x: Column, nbins: int, tie: list[Column] | None = None, *, n_rows: int | None = None, name: str = "bin") -> DataFrame:
     """``df`` with quantile bins 1 to ``nbins``, as NTILE over ``x`` then ``tie`` numbers them.
 
-    Many rows are ranged by x and numbered within each range; where the ranges begin comes from their counts, so no
-    task orders all rows. Equal x go to one range, so a value with very many rows stays one task's.
+    Many rows are never ordered: the (x, tie) at which each bin begins is found by counting rows between sampled splitters, again within
+    the ranges that hold a beginning until these are small, and rows are compared with the ``nbins`` - 1 beginnings. Of rows that
+    agree in x and tie with a beginning, so many go below it as NTILE would put there. ``n_rows`` only decides which way is taken.
     """
     n = df.count() if n_rows is None else n_rows
     order = [x, *(tie or [])]
     if n <= WINDOW_ROWS:
         return df.withColumn(name, F.ntile(nbins).over(Window.orderBy(*order)))
-    parts = max(2, n // 250_000)
-    cuts = df.agg(F.percentile_approx(x, F.lit([k / parts for k in range(1, parts)]), F.lit(20 * parts)).alias("c")).first()[0]
-    cuts = sorted(set(cuts))
-    place = F.lit(0)
-    for k, c in enumerate(cuts, 1):
-        place = F.when(x > F.lit(c), k).otherwise(place)
-    ranged = df.withColumn("__range", place)
-    counts = {r[0]: r[1] for r in ranged.groupBy("__range").count().collect()}
-    before, at = {}, 0
-    for k in sorted(counts):
-        before[k] = at
-        at += counts[k]
-    start = F.element_at(F.create_map(*[F.lit(v) for kv in before.items() for v in kv]), F.col("__range"))
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) + start - 1
+    key = F.struct(*[c.alias(f"k{k}") for k, c in enumerate(order)])
+    keys = df.select(key.alias("key"))
+    n = keys.count()
     small, extra = divmod(n, nbins)
-    cut = (small + 1) * extra
-    at = F.col("__rank")
-    tile = F.when(at < cut, F.floor(at / (small + 1)) + 1).otherwise(F.floor((at - cut) / max(small, 1)) + extra + 1)
-    return ranged.withColumn("__rank", rank).withColumn(name, tile.cast("int")).drop("__range", "__rank")
+    starts = sorted({r for k in range(1, nbins) if (r := k * small + min(k, extra)) < n})
+    found = _at_ranks(keys, n, starts)
+    values = sorted({found[r][0] for r in starts}, key=_nulls_first)
+    held = _literals(values, keys.schema["key"].dataType)
+    at = {v: k for k, v in enumerate(values)}
+    # Of each value, the bins that begin at it, and how many rows that equal it come before each.
+    base, splits = [0] * (len(values) + 1), {}
+    for r in starts:
+        v, before, times = found[r]
+        if r > before:
+            splits.setdefault(at[v], []).append(r - before)
+        else:
+            base[at[v]] += 1
+    below = [0]  # bins begun before the rows of each place: after k values, then at the value itself
+    for k in range(len(values)):
+        below.append(below[-1] + base[k] + len(splits.get(k, [])))
+    place = _rank(key, held, len(values))  # values at most the key
+    exact = F.get(held, place - 1) == key
+    numbers = lambda xs: F.array(*[F.lit(int(v)) for v in xs])
+    tile = F.get(numbers(below), place) + 1
+    if not splits:
+        return df.withColumn(name, tile.cast("int"))
+    # Rows equal to a value within which a bin begins are numbered, in parts, whichever comes first: they agree in all that orders them.
+    one, rank = f"{name}__place", f"{name}__rank"
+    parts = min(SPLITTERS, max(1, -(-max(found[r][2] for r in starts) // WINDOW_ROWS)))
+    part = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(parts)) if parts > 1 else F.lit(0).cast("long")
+    is_split = F.get(numbers([int(k in splits) for k in range(len(values))]), place - 1) == 1
+    rows = df.withColumns({one: F.when(exact & is_split, place - 1), name: tile.cast("int"), rank: part})
+    edge = rows.where(F.col(one).isNotNull())
+    counts = {(r[0], r[1]): r[2] for r in edge.groupBy(one, rank).count().collect()}
+    offset, total = [], {}
+    for k, s in sorted(counts):
+        offset.append(F.when((F.col(one) == k) & (F.col(rank) == s), F.lit(total.get(k, 0))))
+        total[k] = total.get(k, 0) + counts[k, s]
+    number = F.row_number().over(Window.partitionBy(one, rank).orderBy(F.lit(0))) - 1 + F.coalesce(*offset, F.lit(0))
+    late = F.lit(0)  # bins that begin within the equal rows, after this one
+    edge = edge.withColumn(rank, number)
+    for k, cuts in splits.items():
+        late = F.when(F.col(one) == k, sum((F.when(F.col(rank) < c, 1).otherwise(0) for c in cuts), F.lit(0))).otherwise(late)
+    edge = edge.withColumn(name, (F.col(name) - late).cast("int"))
+    return rows.where(F.col(one).isNull()).drop(one, rank).unionByName(edge.drop(one, rank))
+
+
+def _nulls_first(v: tuple) -> tuple:
+    return tuple((x is not None, x) for x in v)
+
+
+def _literals(values: list, kind: T.DataType) -> Column:
+    """An array of structs, folded to one literal."""
+    row = lambda v: F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(v, kind.fields)])
+    return F.array(*[row(v) for v in values])
+
+
+def _rank(key: Column, held: Column, n: int) -> Column:
+    """How many of the ``n`` ascending values are at most the key: a binary search inside the row."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    fits = lambda at, step: (at + step <= n) & (F.get(held, at + step - 1) <= key)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(fits(at, step), at + step).otherwise(at))
+
+
+def _at_ranks(keys: DataFrame, n: int, ranks: list[int]) -> dict[int, tuple]:
+    """Of each rank from 0 among the ``n`` keys: (the key there, keys before it, keys equal to it)."""
+    if not ranks:
+        return {}
+    if n <= WINDOW_ROWS:
+        so_far = F.sum("count").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        groups = keys.groupBy("key").count().withColumn("upto", so_far)
+        wanted = F.array(*[F.lit(r).cast("long") for r in ranks])
+        rows = groups.where(F.exists(wanted, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("count")))).collect()
+        return {r: (tuple(x["key"]), x["upto"] - x["count"], x["count"]) for x in rows for r in ranks if x["upto"] - x["count"] <= r < x["upto"]}
+    many = max(SPLITTERS, 4 * len(ranks))
+    drawn = sorted({tuple(r["key"]) for r in keys.sample(min(1.0, 4 * many / n), seed=n % 1000).collect()}, key=_nulls_first)
+    splitters = drawn[:: max(1, len(drawn) // many)]
+    if not splitters:
+        raise RuntimeError("no splitters were drawn")
+    held = _literals(splitters, keys.schema["key"].dataType)
+    place = _rank(F.col("key"), held, len(splitters))
+    # Even places lie between splitters, odd ones are those equal to one.
+    place = 2 * place - F.when(F.get(held, place - 1) == F.col("key"), 1).otherwise(0)
+    placed = keys.select("key", place.alias("place"))
+    counts = {r[0]: r[1] for r in placed.groupBy("place").count().collect()}
+    out, open_, before, inside = {}, {}, 0, 0
+    left = list(ranks)
+    for k in sorted(counts):
+        mine = [r for r in left if before <= r < before + counts[k]]
+        if mine and k % 2:
+            out |= {r: (splitters[k // 2], before, counts[k]) for r in mine}
+        elif mine:
+            open_[k] = (before - inside, mine)
+            inside += counts[k]
+        before += counts[k]
+    if open_:
+        if inside == n:
+            raise RuntimeError("splitters do not tell the rows apart")
+        shift = {r - off: (r, off) for off, mine in open_.values() for r in mine}
+        deeper = _at_ranks(placed.where(F.col("place").isin(list(open_))).select("key"), inside, sorted(shift))
+        for low, (key, first, times) in deeper.items():
+            r, off = shift[low]
+            out[r] = (key, first + off, times)
+    return out
 
 
 def equal_width_bins(x: Column, low: float, high: float, nbins: int) -> Column:
@@ -146,6 +235,13 @@ def _order(spec: Any, what: str) -> tuple[int, int] | None:
     return int(p), int(s)
 
 
+def free_prefix(columns: Iterable[str], names: Iterable[str]) -> str:
+    taken, names, prefix = {c.lower() for c in columns}, list(names), ""
+    while any(prefix + n.lower() in taken for n in names):
+        prefix += "_"
+    return prefix
+
+
 @dataclass
 class _Inputs:
     formula: Formula
@@ -161,8 +257,13 @@ class _Inputs:
     nsims: int
     strategy: str
     seed: int
+    bin: str = "bin"
     opt: dict = field(default_factory=dict)
 
+    def free(self, names: Iterable[str]) -> str:
+        """What goes before ``names`` so that no column of the rows has one of them: nothing, or underscores."""
+        return free_prefix(self.rows.columns, names)
+
 
 def binscatter(
     formula: str,
@@ -177,7 +278,7 @@ def binscatter(
     nbins: int = 20,
     binspos: Any = "qs",
     randcut: float | None = None,
-    sample_fit: bool | None = None,
+    sample_fit: bool = False,
     ci: bool = True,
     cb: bool = False,
     vcov: str | None = None,
@@ -194,6 +295,8 @@ def binscatter(
 
     Smoothness 0: a polynomial of its own in every bin; above: a spline with so many continuous derivatives less one. Values are at controls of 0 and
     reference levels of fixed effects. ``binspos``: "qs" quantiles, "es" equal widths, "log" equal widths of logarithms, or inner knots. ``tie``: columns that order equal x.
+    All rows are used, unless ``randcut`` asks for quantile breaks on a sample of that share (SAMPLE_LEAST rows at least) and ``sample_fit`` for fits on it too.
+    Columns that are added get underscores before their names where the input has such names.
     """
     if dots is not None:
         warnings.warn("dots is superseded by points", DeprecationWarning, stacklevel=2)
@@ -225,41 +328,41 @@ def binscatter(
         raise ValueError("no complete rows")
     if nbins > distinct and not isinstance(binspos, (list, tuple)):
         warnings.warn(f"nbins ({nbins}) is above the number of values of {x!r} ({distinct})", stacklevel=2)
-    share = randcut if randcut is not None else (SAMPLE_SHARE if n > SAMPLE_ABOVE else 1.0)
+    share = 1.0 if randcut is None else randcut
     size = max(SAMPLE_LEAST, math.ceil(n * share))
     sampled = size < n and share < 1.0
-    smooth = max((o[1] for o in (p, ln) if o), default=0)
-    if sample_fit is None:
-        sample_fit = sampled and smooth > 0
-        if sample_fit:
-            warnings.warn("the spline is fitted on the sample; sample_fit=False fits all rows", stacklevel=2)
+    bin_ = f"{free_prefix(df.columns, ['bin'])}bin"
     sample = df.sample(min(1.0, size / n), seed) if sampled else df
     if sampled and sample_fit:
         df = sample
     if isinstance(binspos, (list, tuple)):
         inner = sorted({float(k) for k in binspos if low < k < high})
-        rows = df.withColumn("bin", manual_bins(xc, [low, *inner, high]))
+        rows = df.withColumn(bin_, manual_bins(xc, [low, *inner, high]))
     elif binspos in ("es", "log"):
         if binspos == "log" and low <= 0:
             raise ValueError("log bins take positive values")
-        rows = df.withColumn("bin", equal_width_bins(xc, low, high, nbins)) if binspos == "es" else df.withColumn("bin", manual_bins(xc, log_breaks(low, high, nbins)))
+        rows = df.withColumn(bin_, equal_width_bins(xc, low, high, nbins)) if binspos == "es" else df.withColumn(bin_, manual_bins(xc, log_breaks(low, high, nbins)))
     elif binspos == "qs":
         if sampled:
             cuts = sample.agg(F.percentile(xc, F.lit([k / nbins for k in range(1, nbins)])) if nbins > 1 else F.array()).first()[0]
-            rows = df.withColumn("bin", manual_bins(xc, [low, *sorted({c for c in cuts if low < c < high}), high]))
+            rows = df.withColumn(bin_, manual_bins(xc, [low, *sorted({c for c in cuts if low < c < high}), high]))
         else:
-            rows = ntile_bins(df, xc, nbins, [F.col(f"`{t}`") for t in tie or keep], n_rows=n)
+            rows = ntile_bins(df, xc, nbins, [F.col(f"`{t}`") for t in tie or keep], n_rows=n, name=bin_)
     else:
         raise ValueError("binspos is 'qs', 'es', 'log' or a list of knots")
-    rows = rows.where(F.col("bin").isNotNull())
+    # Binned once: bin geometry, each fit and each robust pass read these rows.
+    rows = rows.where(F.col(bin_).isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
     opt = {"points": p, "line": ln, "binspos": binspos, "N_orig": n, "x_var": x, "y_var": parsed.outcome, "formula": formula, "level": level, "ci": ci, "cb": cb, "vcov": vcov or "iid"}
-    inputs = _Inputs(parsed, rows, x, controls, vcov if ci or cluster else "iid", cluster, ci, cb, level, linegrid, nsims, strategy, seed, opt)
-    geo = [r.asDict() for r in bin_geometry(rows, x).collect()]
-    first = p or ln
-    result = _fitted(inputs, geo, first, p is not None, ln is not None and (p is None or ln == p))
-    if p is not None and ln is not None and ln != p:
-        other = _fitted(inputs, geo, ln, False, True)
-        result.line = other.line
+    inputs = _Inputs(parsed, rows, x, controls, vcov if ci or cluster else "iid", cluster, ci, cb, level, linegrid, nsims, strategy, seed, bin_, opt)
+    try:
+        geo = [{("bin" if k == bin_ else k): v for k, v in r.asDict().items()} for r in bin_geometry(rows, x, bin_).collect()]
+        first = p or ln
+        result = _fitted(inputs, geo, first, p is not None, ln is not None and (p is None or ln == p))
+        if p is not None and ln is not None and ln != p:
+            other = _fitted(inputs, geo, ln, False, True)
+            result.line = other.line
+    finally:
+        rows.unpersist()
     return result
 
 
@@ -273,14 +376,15 @@ def _fitted(inputs: _Inputs, geo: list[dict], order: tuple[int, int], with_point
 
 def _unconstrained(inputs: _Inputs, geo: list[dict], degree: int, with_points: bool, with_line: bool) -> BinscatterResult:
     x, y = F.col(f"`{inputs.x}`").cast("double"), inputs.formula.outcome
-    rows = inputs.rows.where(F.col("bin").isin([g["bin"] for g in geo]))
+    rows = inputs.rows.where(F.col(inputs.bin).isin([g["bin"] for g in geo]))
     terms: list[str] = []
     added: dict[str, Column] = {}
+    own = inputs.free(["bin_one", *(n for g in geo for n in (f"bin_{g['bin']}", *(f"u{d}_{g['bin']}" for d in range(1, degree + 1))))])
     for k, g in enumerate(geo):
         b, h = g["bin"], g["x_right"] - g["x_left"]
         if k:
-            added[f"bin_{b}"] = F.when(F.col("bin") == b, 1.0).otherwise(0.0)
-            terms.append(f"bin_{b}")
+            added[f"{own}bin_{b}"] = F.when(F.col(inputs.bin) == b, 1.0).otherwise(0.0)
+            terms.append(f"{own}bin_{b}")
         if h <= 0:
             continue
         for d in range(1, degree + 1):
@@ -288,13 +392,13 @@ def _unconstrained(inputs: _Inputs, geo: list[dict], degree: int, with_points: b
             power = u
             for _ in range(d - 1):
                 power = power * u
-            added[f"u{d}_{b}"] = F.when(F.col("bin") == b, power).otherwise(0.0)
-            terms.append(f"u{d}_{b}")
+            added[f"{own}u{d}_{b}"] = F.when(F.col(inputs.bin) == b, power).otherwise(0.0)
+            terms.append(f"{own}u{d}_{b}")
     rows = rows.withColumns(added) if added else rows
     all_terms = [*terms, *inputs.controls]
     if not all_terms:  # a single bin of means
-        rows = rows.withColumn("bin_one", F.lit(0.0))
-        all_terms = ["bin_one"]
+        rows = rows.withColumn(f"{own}bin_one", F.lit(0.0))
+        all_terms = [f"{own}bin_one"]
     fml = Formula(y, tuple((t,) for t in all_terms), inputs.formula.fe)
     fit = regress(fml, table=rows, vcov=inputs.vcov, cluster=inputs.cluster, strategy="compress" if inputs.strategy == "auto" else inputs.strategy, drop_missings=False)
     first = geo[0]["bin"] if geo else None
@@ -302,10 +406,10 @@ def _unconstrained(inputs: _Inputs, geo: list[dict], degree: int, with_points: b
     def vector(value: float, g: dict) -> dict[str, float]:
         out = {"(Intercept)": 1.0}
         if g["bin"] != first:
-            out[f"bin_{g['bin']}"] = 1.0
+            out[f"{own}bin_{g['bin']}"] = 1.0
         h = g["x_right"] - g["x_left"]
         for d in range(1, degree + 1):
-            out[f"u{d}_{g['bin']}"] = ((value - g["x_left"]) / h) ** d if h > 0 else 0.0
+            out[f"{own}u{d}_{g['bin']}"] = ((value - g["x_left"]) / h) ** d if h > 0 else 0.0
         return out
 
     return _output(inputs, fit, geo, vector, with_points, with_line, band=True)
@@ -316,17 +420,18 @@ def _spline(inputs: _Inputs, geo: list[dict], degree: int, smooth: int, with_poi
         warnings.warn("confidence bands are for smoothness 0; cb is ignored", stacklevel=4)
     x = F.col(f"`{inputs.x}`").cast("double")
     knots = [g["x_right"] for g in geo[:-1]]
-    added = {f"x{d}_spline": (x if d == 1 else F.pow(x, F.lit(float(d)))) for d in range(1, degree + 1)}
+    own = inputs.free([*(f"x{d}_spline" for d in range(1, degree + 1)), *(f"knot{j}_pow{r}" for j in range(1, len(knots) + 1) for r in range(smooth, degree + 1))])
+    added = {f"{own}x{d}_spline": (x if d == 1 else F.pow(x, F.lit(float(d)))) for d in range(1, degree + 1)}
     for j, k in enumerate(knots, 1):
         for r in range(smooth, degree + 1):
-            added[f"knot{j}_pow{r}"] = F.when(x > F.lit(k), F.pow(x - F.lit(k), F.lit(float(r)))).otherwise(0.0)
+            added[f"{own}knot{j}_pow{r}"] = F.when(x > F.lit(k), F.pow(x - F.lit(k), F.lit(float(r)))).otherwise(0.0)
     rows = inputs.rows.withColumns(added)
     fml = Formula(inputs.formula.outcome, tuple((t,) for t in [*added, *inputs.controls]), inputs.formula.fe)
     fit = regress(fml, table=rows, vcov=inputs.vcov, cluster=inputs.cluster, strategy=inputs.strategy, drop_missings=False)
 
     def vector(value: float, g: dict) -> dict[str, float]:
-        out = {"(Intercept)": 1.0} | {f"x{d}_spline": value**d for d in range(1, degree + 1)}
-        return out | {f"knot{j}_pow{r}": max(0.0, value - k) ** r for j, k in enumerate(knots, 1) for r in range(smooth, degree + 1)}
+        out = {"(Intercept)": 1.0} | {f"{own}x{d}_spline": value**d for d in range(1, degree + 1)}
+        return out | {f"{own}knot{j}_pow{r}": max(0.0, value - k) ** r for j, k in enumerate(knots, 1) for r in range(smooth, degree + 1)}
 
     out = _output(inputs, fit, geo, vector, with_points, with_line, band=False)
     out.knots = knots

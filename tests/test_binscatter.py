@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regrove.operators import binscatter as B
@@ -86,9 +87,38 @@ def test_breaks_from_a_sample(noisy, monkeypatch):
     monkeypatch.setattr(B, "SAMPLE_LEAST", 100)
     r = binscatter("y ~ x", table=df, nbins=4, randcut=0.5)
     assert r.opt["N"] == 600 and len(r.points) == 4
-    with pytest.warns(UserWarning, match="sample"):
-        s = binscatter("y ~ x", table=df, nbins=4, randcut=0.5, points=(1, 1))
+    s = binscatter("y ~ x", table=df, nbins=4, randcut=0.5, points=(1, 1), sample_fit=True)
     assert s.opt["N"] < 600
+    assert binscatter("y ~ x", table=df, nbins=4, randcut=0.5, points=(1, 1)).opt["N"] == 600
+
+
+@pytest.mark.parametrize("n_rows", [None, 10**9, 10**12])
+def test_quantile_bins_of_any_number_of_rows(spark, monkeypatch, n_rows):
+    """As NTILE: one x in nine of ten rows, ties that the tie columns break or do not, and rows that are equal throughout."""
+    monkeypatch.setattr(B, "WINDOW_ROWS", 50)
+    monkeypatch.setattr(B, "SPLITTERS", 12)
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random(3000) < 0.9, 5.0, rng.integers(0, 40, 3000).astype(float))
+    rows = [(float(v), None if k % 7 == 0 else f"t{rng.integers(0, 4)}", int(k) if k % 3 else 1) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "x double, t string, k int").repartition(5)
+    for tie in ([], ["t"], ["t", "k"]):
+        for nbins in (1, 7, 20):
+            columns = [F.col(c) for c in tie]
+            got = ntile_bins(df, F.col("x"), nbins, columns, n_rows=n_rows)
+            want = df.withColumn("bin", F.ntile(nbins).over(Window.orderBy("x", *tie)))
+            by = lambda d: sorted(map(str, d.groupBy("x", *tie, "bin").count().collect()))
+            assert by(got) == by(want) and got.columns == [*df.columns, "bin"]
+
+
+def test_clashing_names(noisy):
+    """Controls and fixed effects named like the columns that a binned scatter adds change nothing."""
+    _, df = noisy
+    df = df.withColumn("w", F.col("x") * F.col("x") + F.col("y") * 0.1)
+    for order in ((0, 0), (1, 0), (1, 1)):
+        want = binscatter("y ~ x + w", table=df, nbins=3, points=order)
+        for name in ("bin", "BIN_2", "u1_2", "x1_spline", "knot1_pow1", "bin_one"):
+            got = binscatter(f"y ~ x + {name}", table=df.withColumnRenamed("w", name), nbins=3, points=order)
+            assert [p["fit"] for p in got.points] == pytest.approx([p["fit"] for p in want.points]), name
 
 
 def test_registered_spline_takes_all_rows(spark, tmp_path, monkeypatch):
@@ -97,6 +127,5 @@ def test_registered_spline_takes_all_rows(spark, tmp_path, monkeypatch):
     spark.createDataFrame(pd.DataFrame({"l_extendedprice": x, "l_quantity": x / 2000 + rng.normal(size=2000)})).write.parquet(str(tmp_path / "lineitem.parquet"))
     query = queries()["binscatter_11"]
     whole = query(spark, str(tmp_path)).collect()
-    monkeypatch.setattr(B, "SAMPLE_ABOVE", 1000)
     monkeypatch.setattr(B, "SAMPLE_LEAST", 100)
     assert query(spark, str(tmp_path)).collect() == whole
