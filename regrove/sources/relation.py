@@ -9,7 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-READER = re.compile(r"^\s*(?:read|scan)_(\w+?)(?:_auto|_scan)?\s*\(\s*'([^']+)'\s*.*\)\s*$", re.DOTALL)
+READER = re.compile(r"^\s*(?:read|scan)_(\w+?)(?:_auto|_scan)?\s*\((.*)\)\s*$", re.DOTALL)
+#: Arguments of reader calls by Spark's option; those of an empty name say what Spark does anyway.
+OPTIONS = {
+    "csv": {"delim": "sep", "sep": "sep", "delimiter": "sep", "header": "header", "quote": "quote", "escape": "escape", "nullstr": "nullValue", "null": "nullValue", "comment": "comment", "dateformat": "dateFormat", "timestampformat": "timestampFormat", "encoding": "encoding", "ignore_errors": "mode"},
+    "json": {"dateformat": "dateFormat", "timestampformat": "timestampFormat", "ignore_errors": "mode"},
+    "parquet": {"union_by_name": "mergeSchema"},
+}
+SAYS_NOTHING = {"hive_partitioning", "auto_detect", "compression", "sample_size", "parallel"}
 #: Endings and names of readers by Spark's format.
 FORMATS = {"parquet": "parquet", "pq": "parquet", "csv": "csv", "tsv": "csv", "txt": "csv", "json": "json", "ndjson": "json", "jsonl": "json", "orc": "orc", "avro": "avro"}
 
@@ -32,21 +39,53 @@ def relation(spark: SparkSession | None = None, *, table: Any = None, data: Any
     raise ValueError("give one of table, data and path")
 
 
+def reader_call(text: str) -> tuple[list[str], dict[str, object]]:
+    """(paths, arguments) of what stands in a reader call's parentheses: a text or a list of texts, then ``name = value``."""
+    value = r"'(?:[^']|'')*'|\[[^\]]*\]|\{[^}]*\}|[\w.+-]+"
+    parts = list(re.finditer(rf"\s*(?:(\w+)\s*:?=\s*)?({value})\s*(,|$)", text.strip(), re.DOTALL))
+    if "".join(m[0] for m in parts) != text.strip() or not parts or parts[0][1]:
+        raise ValueError(f"a reader call is a path or a list of paths, then name = value: {text!r}")
+    unquoted = lambda x: x[1:-1].replace("''", "'")
+    paths = [unquoted(x) for x in re.findall(r"'(?:[^']|'')*'", parts[0][2])]
+    if not paths:
+        raise ValueError(f"no path in a reader call: {text!r}")
+    given: dict[str, object] = {}
+    for m in parts[1:]:
+        if not m[1] or m[2][0] in "[{":
+            raise ValueError(f"not understood in a reader call: {m[0].strip(' ,')!r}")
+        given[m[1].lower()] = unquoted(m[2]) if m[2][0] == "'" else {"true": True, "false": False}.get(m[2].lower(), m[2])
+    return paths, given
+
+
 def read_path(spark: SparkSession, path: str) -> DataFrame:
-    call = READER.match(path)
+    """Files by path or glob, or by a reader call, whose arguments become Spark's options; one that has no equal raises."""
+    call, options = READER.match(path), {}
     if call:
-        kind, path = FORMATS.get(call[1].lower()), call[2]
+        kind = FORMATS.get(call[1].lower())
         if not kind:
             raise ValueError(f"no reader for {call[1]!r}")
+        paths, given = reader_call(call[2])
+        for name, value in given.items():
+            if name in SAYS_NOTHING:
+                continue
+            if name not in OPTIONS.get(kind, {}):
+                raise ValueError(f"read_{call[1]} has no argument {name!r} here")
+            if OPTIONS[kind][name] == "mode":
+                value = "DROPMALFORMED" if value is True else "PERMISSIVE"
+            options[OPTIONS[kind][name]] = value
     else:
-        path = path.strip().strip("\"'")
-        plain = re.sub(r"\.(gz|bz2|zst|snappy)$", "", path.rstrip("/*"))
+        paths = [path.strip().strip("\"'")]
+        plain = re.sub(r"\.(gz|bz2|zst|snappy)$", "", paths[0].rstrip("/*"))
         kind = FORMATS.get(plain.rpartition(".")[2].lower(), "parquet")
     reader = spark.read.format(kind)
     if kind == "csv":
         reader = reader.option("header", True).option("inferSchema", True)
-        if path.rstrip("/*").endswith((".tsv", ".txt")):
+        if paths[0].rstrip("/*").endswith((".tsv", ".txt")):
             reader = reader.option("sep", "\t")
+    reader = reader.options(**options)
+    if len(paths) > 1:
+        return reader.load(paths)
+    path = paths[0]
     if "**" in path:  # files at any depth below; directories like year=2012 become columns
         root, _, name = path.partition("**")
         if (name := name.strip("/")) and name not in ("*", "*.*"):
