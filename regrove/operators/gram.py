@@ -7,7 +7,7 @@ the number of tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,17 @@ def summed(partials: DataFrame, size: int) -> np.ndarray:
     return total
 
 
+def total(rows: DataFrame | pa.Table, partial: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], size: int) -> np.ndarray:
+    """The sum of what ``partial`` gives: of an Arrow table here, of a DataFrame in its tasks."""
+    if isinstance(rows, pa.Table):
+        out = np.zeros(size)
+        for batch in partial(iter(rows.to_batches())):
+            for x in batch.column(0):
+                out += x.values.to_numpy()
+        return out
+    return summed(rows.mapInArrow(partial, "m array<double>"), size)
+
+
 class Layout:
     """Columns of a dense design: the intercept, ``k`` regressors, and dummies for all but the first level of each fixed effect."""
 
@@ -98,7 +109,7 @@ class Layout:
                 yield self.dense(piece), piece
 
 
-def cell_moments(cells: DataFrame, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cell_moments(cells: DataFrame | pa.Table, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(X'X, X'y, [n, sum of y, sum of y squared]) from cells with columns of ``layout`` and n, sy, syy."""
     p = layout.p
 
@@ -111,56 +122,178 @@ def cell_moments(cells: DataFrame, layout: Layout) -> tuple[np.ndarray, np.ndarr
             rest += [n.sum(), sy.sum(), syy.sum()]
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([xx.ravel(), xy, rest])], pa.list_(pa.float64()))], ["m"])
 
-    out = summed(cells.mapInArrow(partial, "m array<double>"), p * p + p + 3)
+    out = total(cells, partial, p * p + p + 3)
     return out[: p * p].reshape(p, p), out[p * p : p * p + p], out[-3:]
 
 
-def cell_meat(cells: DataFrame, layout: Layout, beta: np.ndarray) -> tuple[float, np.ndarray]:
-    """(residual sum of squares, X' diag(squared residuals) X), exact from cells."""
+def cell_meat(cells: DataFrame | pa.Table, layout: Layout, beta: np.ndarray, robust: bool = True) -> tuple[float, np.ndarray]:
+    """(residual sum of squares, X' diag(squared residuals) X, unless not ``robust``), exact from cells."""
     p = layout.p
+    size = p * p if robust else 0
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rss, meat = 0.0, np.zeros((p, p))
+        rss, meat = 0.0, np.zeros((p, p) if robust else (0, 0))
         for x, batch in layout.blocks(batches):
-            n, sy, syy = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "sy", "syy"))
-            fit = x @ beta
-            mean = sy / n
-            squares = np.maximum(syy - n * mean * mean, 0.0) + n * (mean - fit) ** 2
+            squares = _squares(batch, x @ beta)
             rss += squares.sum()
-            meat += x.T @ (x * squares[:, None])
+            if robust:
+                meat += x.T @ (x * squares[:, None])
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[rss], meat.ravel()])], pa.list_(pa.float64()))], ["m"])
 
-    out = summed(cells.mapInArrow(partial, "m array<double>"), p * p + 1)
-    return float(out[0]), out[1:].reshape(p, p)
+    out = total(cells, partial, size + 1)
+    return float(out[0]), out[1:].reshape(p, p) if robust else np.zeros((p, p))
 
 
-def cluster_meat(cells: DataFrame, layout: Layout, beta: np.ndarray) -> tuple[np.ndarray, int]:
-    """(sum over clusters of score times score', clusters) from cells by cluster (column g) with n and sy.
+def _squares(batch: pa.RecordBatch, fit: np.ndarray) -> np.ndarray:
+    """Squared residuals of each cell."""
+    n, sy, syy = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "sy", "syy"))
+    mean = sy / n
+    return np.maximum(syy - n * mean * mean, 0.0) + n * (mean - fit) ** 2
 
-    A cluster's cells come to one task in order and are added up there; only its score vector is held.
+
+def sums_by(rows: DataFrame, key: str, m: int, vectors: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, pa.RecordBatch]]]) -> DataFrame:
+    """(key as text, v): the sum of the vectors of length ``m`` that ``vectors`` gives for the rows of each key.
+
+    Each task adds up the keys it meets before the shuffle, so that a key with most of the rows sends one vector a task, and the
+    sums of a key are added one by one after it.
     """
-    p = layout.p
+
+    def flush(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+        values = np.concatenate(list(held.values())) if held else np.zeros(0)
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.ListArray.from_arrays(np.arange(0, len(values) + 1, m, dtype=np.int32), pa.array(values))], [key, "v"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meat, count, last, score = np.zeros((p, p)), 0, None, np.zeros(p)
-        for x, batch in layout.blocks(batches):
-            n, sy = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "sy"))
-            rows = x * (sy - n * (x @ beta))[:, None]
-            g = batch.column("g").dictionary_encode()
+        held: dict[str, np.ndarray] = {}
+        for v, batch in vectors(batches):
+            g = batch.column(key).dictionary_encode()
             codes = g.indices.to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(codes, prepend=-1))
-            sums = np.add.reduceat(rows, cuts, axis=0)
-            names = [g.dictionary[int(codes[c])].as_py() for c in cuts]
-            if names[0] == last:
-                sums[0] += score
-                count -= 1
-            elif last is not None:
-                meat += np.outer(score, score)
-            meat += sums[:-1].T @ sums[:-1]
-            count, last, score = count + len(names), names[-1], sums[-1]
-        meat += np.outer(score, score)
+            order = np.argsort(codes, kind="stable")
+            cuts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            sums = np.add.reduceat(v[order], cuts, axis=0) if len(cuts) else v
+            for c, x in zip(codes[order][cuts], sums):
+                name = g.dictionary[int(c)].as_py()
+                held[name] = held[name] + x if name in held else x
+            if len(held) * m > CELLS:
+                yield flush(held)
+                held = {}
+        yield flush(held)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sum_, done = None, np.zeros(m), {}
+        for batch in batches:
+            for name, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if name != last and last is not None:
+                    done[last] = sum_
+                sum_ = v.values.to_numpy() if name != last else sum_ + v.values.to_numpy()
+                last = name
+            yield flush(done)
+            done = {}
+        if last is not None:
+            yield flush({last: sum_})
+
+    schema = f"`{key}` string, v array<double>"
+    return rows.mapInArrow(partial, schema).repartition(key).sortWithinPartitions(key).mapInArrow(combine, schema)
+
+
+def outer_sum(sums: DataFrame, m: int) -> tuple[np.ndarray, int]:
+    """(sum of v v', rows) of the vectors of ``sums_by``."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meat, count = np.zeros((m, m)), 0
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+            meat += v.T @ v
+            count += len(v)
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[count], meat.ravel()])], pa.list_(pa.float64()))], ["m"])
 
-    rows = cells.repartition("g").sortWithinPartitions("g")
-    out = summed(rows.mapInArrow(partial, "m array<double>"), p * p + 1)
-    return out[1:].reshape(p, p), int(round(out[0]))
+    out = total(sums, partial, m * m + 1)
+    return out[1:].reshape(m, m), int(round(out[0]))
+
+
+def cluster_meat(cells: DataFrame, layout: Layout, beta: np.ndarray) -> tuple[np.ndarray, int]:
+    """(sum over clusters of score times score', clusters) from cells by cluster (column g) with n and sy."""
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+        for x, batch in layout.blocks(batches):
+            n, sy = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "sy"))
+            yield x * (sy - n * (x @ beta))[:, None], batch
+
+    return outer_sum(sums_by(cells, "g", layout.p, scores), layout.p)
+
+
+def _within_groups(layout: Layout, batches: Iterator[pa.RecordBatch], beta: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """(columns less their group's means, fitted values, cells) of cells joined with their groups."""
+    for x, batch in layout.blocks(batches):
+        v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, layout.p + 2)
+        x = x - v[:, 2:] / v[:, :1]
+        yield x, v[:, 1] / v[:, 0] + x @ beta, batch
+
+
+class Absorbed:
+    """Cells with one fixed effect (column a, as text) taken out: its part of the normal equations is diagonal, so it is eliminated group by group.
+
+    ``layout`` holds the other columns, without an intercept. Groups stay distributed; of each, the sums n, n * y and n * columns.
+    """
+
+    def __init__(self, cells: DataFrame, layout: Layout) -> None:
+        self.cells, self.layout = cells, layout
+        q = layout.p
+
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+            for x, batch in layout.blocks(batches):
+                n, sy = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "sy"))
+                yield np.concatenate([n[:, None], sy[:, None], x * n[:, None]], 1), batch
+
+        self.groups = sums_by(cells.select(*[c for c in cells.columns if c != "g"]), "a", q + 2, vectors)
+
+    def within(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(sums of products of the columns, and last of y, within groups; of the columns as they are; [n, sum of y, sum of y squared]; groups)."""
+        q = self.layout.p
+        xx, xy, rest = cell_moments(self.cells, self.layout)
+        whole = np.zeros((q + 1, q + 1))
+        whole[:q, :q], whole[:q, q], whole[q, :q], whole[q, q] = xx, xy, xy, rest[2]
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            between, count = np.zeros((q + 1, q + 1)), 0
+            for batch in batches:
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, q + 2)
+                u = np.concatenate([v[:, 2:], v[:, 1:2]], 1)
+                between += u.T @ (u / v[:, :1])
+                count += len(v)
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[count], between.ravel()])], pa.list_(pa.float64()))], ["m"])
+
+        out = total(self.groups, partial, (q + 1) ** 2 + 1)
+        return whole - out[1:].reshape(q + 1, q + 1), whole, rest, int(round(out[0]))
+
+    def meat(self, beta: np.ndarray, robust: bool) -> tuple[float, np.ndarray]:
+        """As ``cell_meat``, of columns within groups."""
+        layout, q = self.layout, self.layout.p
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rss, meat = 0.0, np.zeros((q, q))
+            for x, fit, batch in _within_groups(layout, batches, beta):
+                squares = _squares(batch, fit)
+                rss += squares.sum()
+                if robust:
+                    meat += x.T @ (x * squares[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[rss], meat.ravel()])], pa.list_(pa.float64()))], ["m"])
+
+        out = total(self.cells.join(self.groups, "a"), partial, q * q + 1)
+        return float(out[0]), out[1:].reshape(q, q)
+
+    def cluster_meat(self, by: DataFrame, beta: np.ndarray) -> tuple[np.ndarray, int]:
+        """As ``cluster_meat``, from cells by cluster."""
+        layout = self.layout
+
+        def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+            for x, fit, batch in _within_groups(layout, batches, beta):
+                n, sy = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n", "sy"))
+                yield x * (sy - n * fit)[:, None], batch
+
+        return outer_sum(sums_by(by.join(self.groups, "a"), "g", self.layout.p, scores), self.layout.p)
+
+    def effects(self, beta: np.ndarray) -> DataFrame:
+        """(a, effect): of each level, the mean outcome that the other columns do not explain."""
+        mean = lambda k: F.col("v")[k] / F.col("v")[0]
+        line = F.aggregate(F.zip_with(F.slice("v", 3, len(beta)), F.array(*[F.lit(float(b)) for b in beta]), lambda z, b: z * b), F.lit(0.0), lambda t, z: t + z) if len(beta) else F.lit(0.0)
+        return self.groups.select("a", (mean(1) - line / F.col("v")[0]).alias("effect"))

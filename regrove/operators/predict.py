@@ -33,11 +33,25 @@ def predict(fit: RegressionResult, newdata: DataFrame | None, interval: str = "n
         columns, rows = _mundlak(fit, newdata)
     else:
         columns, rows = {"(Intercept)": F.lit(1.0), **{c.name: c.column for c in fit.design}}, newdata
+    if fit.absorbed is not None:
+        return _with_effects(fit, newdata, columns, beta, interval)
     if interval == "none" and not fit.fe_levels:
         return rows.withColumn("fit", _sum(columns, beta)).select(*[F.col(f"`{c}`") for c in newdata.columns], "fit")
     return _scored(fit, newdata, rows, columns, beta, interval, level)
 
 
+def _with_effects(fit: RegressionResult, newdata: DataFrame, columns: dict[str, Column], beta: dict[str, float], interval: str) -> DataFrame:
+    """Levels of the absorbed fixed effect that the model does not know give null."""
+    if interval != "none":
+        raise ValueError(f"no intervals: the levels of {fit.absorbed!r} are absorbed, and their covariance is not held")
+    line = _sum(columns, beta)
+    for f, own in fit.fe_levels.items():
+        for x in own[1:]:
+            line = line + F.when(F.col(f"`{f}`").cast("string") == F.lit(x), F.lit(beta.get(f"{f}{x}", 0.0))).otherwise(0.0)
+    rows = newdata.select(F.struct(*[F.col(f"`{c}`") for c in newdata.columns]).alias("row"), line.alias("line"), F.coalesce(F.col(f"`{fit.absorbed}`").cast("string"), F.lit("")).alias("a"))
+    return rows.join(fit.effects, "a", "left").select("row.*", (F.col("line") + F.col("effect")).alias("fit"))
+
+
 def _sum(columns: dict[str, Column], beta: dict[str, float]) -> Column:
     total = F.lit(0.0)
     for name, c in columns.items():

@@ -16,11 +16,13 @@ from ..plans.design import DesignColumn, factor_levels, level_text, model_matrix
 from ..plans.formula import Formula, parse_formula
 from ..plans.sqltext import strategy_sql
 from ..sources.relation import complete_rows, kind_of, relation
-from .gram import EXPRESSION_COLUMNS, Layout, cell_meat, cell_moments, cluster_meat, gram
+from .gram import EXPRESSION_COLUMNS, Absorbed, Layout, cell_meat, cell_moments, cluster_meat, gram
 from .result import RegressionResult
 from .strategy import choose, nested_levels
 
 #: Set REGROVE_VERBOSE=1 for messages by default.
+#: Columns of a design that are solved as one dense matrix, and cells up to which the driver sums them itself.
+DENSE_COLUMNS, LOCAL_CELLS = 2000, 100_000
 VERBOSE = os.environ.get("REGROVE_VERBOSE", "") not in ("", "0")
 
 
@@ -117,7 +119,7 @@ def regress(
     matrix = model_matrix(parsed, df, expand="interactions" if choice.strategy == "compress" else "all", fe_vars=parsed.fe, levels=levels, ref=ref)
     source = table if isinstance(table, str) and " " not in table.strip() else "relation"
     needed = list(dict.fromkeys([parsed.outcome, *parsed.variables, *parsed.fe])) if drop_missings else []
-    job.query = strategy_sql(choice.strategy, parsed, matrix, source, needed)
+    job.query = strategy_sql(choice.strategy, parsed, matrix, source, needed, [v for v in parsed.variables if kind_of(df, v) == "numeric"])
     if sql_only:
         return job.query
     fit = {"compress": _compress, "moments": _moments, "demean": _demean, "mundlak": _mundlak}[choice.strategy]
@@ -182,22 +184,33 @@ def _moments(job: _Job, columns: list[DesignColumn], levels: dict[str, list], da
 
 
 def _solved(job: _Job, frame: DataFrame, x: list[Column], names: list[str], regressors: list[str], columns: list[DesignColumn], levels: dict[str, list], strategy: str) -> RegressionResult:
-    """Normal equations with an intercept first."""
+    """Normal equations with an intercept first; columns are centred, so that large means cost no digits."""
     y = F.col("y")
-    m = gram(frame, [*x, y])
     p = len(x)
+    means = np.array([v or 0.0 for v in frame.agg(*[F.avg(c) for c in [*x[1:], y]]).first()])
+    centred = [x[0], *(c - F.lit(float(m)) for c, m in zip(x[1:], means)), y - F.lit(float(means[-1]))]
+    m = gram(frame, centred)
     n = int(round(m[0, 0]))
     if not n:
         raise ValueError("no complete rows")
+    noise = np.concatenate([[0.0], 1e-22 * n * means[:-1] ** 2])
+    constant = [k for k in range(1, p) if m[k, k] <= noise[k]]  # rounding is all that is left
+    m[constant, :] = m[:, constant] = 0.0
     keep, gone = _kept(m[:p, :p], names)
     xx, xy, yy = m[np.ix_(keep, keep)], m[keep, p], m[p, p]
     beta, inverse = solve_normal(xx, xy)
     df = max(n - len(keep), 1)
-    meat, clusters, rss = _row_meat(job, frame, [x[k] for k in keep], y, beta)
+    meat, clusters, rss = _row_meat(job, frame, [centred[k] for k in keep], centred[p], beta)
     if rss is None:
         rss = float(yy - 2 * beta @ xy + beta @ xx @ beta)
     nested = nested_levels(job.df, list(job.formula.fe), job.cluster) if job.cluster and job.ssc == "nested" and strategy == "moments" else 0
     covariance = _covariance(job, inverse, meat, rss, n, df, len(keep) - nested, clusters)
+    # Back to the columns as they are: only the intercept moves.
+    back = np.eye(len(keep))
+    if keep[0] == 0:
+        back[0, 1:] = [-means[k - 1] for k in keep[1:]]
+        beta, covariance = back @ beta, back @ covariance @ back.T
+        beta[0] += means[-1]
     kept_names = [names[k] for k in keep]
     return RegressionResult(job.formula, kept_names, beta, covariance, job.vcov, strategy, n, df, rss, float(yy - m[0, p] ** 2 / n), [r for r in regressors if r in kept_names], n_clusters=clusters, collinear=gone, query=job.query, design=columns, levels=levels, compression_ratio_est=job.ratio_est)
 
@@ -301,9 +314,16 @@ def _compress(job: _Job, columns: list[DesignColumn], levels: dict[str, list], d
     try:
         fe_names = [f"e{i}" for i in range(len(job.formula.fe))]
         factors = [c.factor for c in columns if c.factor]
-        given = {f"e{i}": job.levels[f] for i, f in enumerate(job.formula.fe) if f in job.levels}
-        wanted_ref = {f"e{i}": job.ref[f] for i, f in enumerate(job.formula.fe) if f in job.ref}
-        fe_levels = factor_levels(grouped, fe_names, given, wanted_ref) if fe_names else {}
+        n_cells, *sizes = grouped.agg(F.count("*"), *[F.approx_count_distinct(F.col(f), 0.02) for f in fe_names]).first()
+        absorbed = None
+        if fe_names and sum(sizes) + len(columns) > DENSE_COLUMNS:
+            absorbed = int(np.argmax(sizes))
+            if (rest := sum(sizes) - sizes[absorbed]) + len(columns) > DENSE_COLUMNS:
+                raise ValueError(f"about {rest:,} levels of fixed effects besides {job.formula.fe[absorbed]!r}, more than the {DENSE_COLUMNS:,} columns that are solved at once; pick another strategy")
+        dense_fe = [f for k, f in enumerate(fe_names) if k != absorbed]
+        given = {f"e{i}": job.levels[f] for i, f in enumerate(job.formula.fe) if f in job.levels and i != absorbed}
+        wanted_ref = {f"e{i}": job.ref[f] for i, f in enumerate(job.formula.fe) if f in job.ref and i != absorbed}
+        fe_levels = factor_levels(grouped, dense_fe, given, wanted_ref) if dense_fe else {}
         own_levels = factor_levels(job.df, factors, job.levels, job.ref) if factors else {}
         # Factors of main effects are expanded now, after grouping.
         x: list[Column] = []
@@ -321,28 +341,38 @@ def _compress(job: _Job, columns: list[DesignColumn], levels: dict[str, list], d
                 x_names.append(f"{c.name}{level_text(level)}")
                 design.append(DesignColumn(x_names[-1], F.when(F.col(f"`{c.factor}`") == F.lit(level), 1.0).otherwise(0.0), ""))
         texts = {f: [_as_text(v) for v in own] for f, own in fe_levels.items()}
-        layout = Layout(len(x), [texts[f] for f in fe_names])
-        dense = [*(c.alias(f"x{k}") for k, c in enumerate(x)), *(F.col(f).cast("string").alias(f"f{k}") for k, f in enumerate(fe_names))]
+        layout = Layout(len(x), [texts[f] for f in dense_fe], intercept=absorbed is None)
+        dense = [*(c.alias(f"x{k}") for k, c in enumerate(x)), *(F.col(f).cast("string").alias(f"f{k}") for k, f in enumerate(dense_fe))]
+        if absorbed is not None:  # a null level, where missing values stay, is a level
+            dense.append(F.coalesce(F.col(fe_names[absorbed]).cast("string"), F.lit("")).alias("a"))
         cells = grouped.select(*dense, "n", "sy", "syy")
-        xx, xy, (n_rows, sy, syy) = cell_moments(cells, layout)
+        by_cluster = rows.groupBy("g", *names).agg(F.count("*").alias("n"), F.sum("y").alias("sy")).select(*dense, "n", "sy", F.col("g").cast("string").alias("g")) if job.vcov == "cluster" else None
+        dense_names = [*x_names, *(f"{job.formula.fe[int(e[1:])]}{level_text(v)}" for e in dense_fe for v in fe_levels[e][1:])]
+        if absorbed is not None:
+            held = Absorbed(cells, layout)
+            held.groups = held.groups.persist()
+            try:
+                return _absorbed(job, held, by_cluster, dense_names, x_names, columns, design, levels | own_levels, absorbed, {job.formula.fe[int(e[1:])]: texts[e] for e in dense_fe}, n_cells, reduced)
+            finally:
+                held.groups.unpersist()
+        summable = cells.toArrow() if n_cells <= LOCAL_CELLS else cells
+        xx, xy, (n_rows, sy, syy) = cell_moments(summable, layout)
         n = int(round(n_rows))
         if not n:
             raise ValueError("no complete rows")
-        all_names = ["(Intercept)", *x_names, *(f"{f}{level_text(v)}" for f, e in zip(job.formula.fe, fe_names) for v in fe_levels[e][1:])]
+        all_names = ["(Intercept)", *dense_names]
         keep, gone = _kept(xx, all_names)
         beta, inverse = solve_normal(xx[np.ix_(keep, keep)], xy[keep])
         full = np.zeros(layout.p)
         full[keep] = beta
-        rss, meat = cell_meat(cells, layout, full)
-        meat, clusters = meat[np.ix_(keep, keep)], None
-        if job.vcov == "cluster":
-            by = rows.groupBy("g", *names).agg(F.count("*").alias("n"), F.sum("y").alias("sy"))
-            meat, clusters = cluster_meat(by.select(*dense, "n", "sy", F.col("g").cast("string").alias("g")), layout, full)
-            meat = meat[np.ix_(keep, keep)]
+        rss, meat = cell_meat(summable, layout, full, job.vcov == "hc1")
+        clusters = None
+        if by_cluster is not None:
+            meat, clusters = cluster_meat(by_cluster, layout, full)
+        meat = meat[np.ix_(keep, keep)]
         df = max(n - len(keep), 1)
         k = len(keep) - (nested_levels(job.df, list(job.formula.fe), job.cluster) if job.cluster and job.ssc == "nested" else 0)
         covariance = _covariance(job, inverse, meat, rss, n, df, k, clusters)
-        n_cells = grouped.count()
     finally:
         grouped.unpersist()
     kept_names = [all_names[j] for j in keep]
@@ -353,6 +383,39 @@ def _compress(job: _Job, columns: list[DesignColumn], levels: dict[str, list], d
     )
 
 
+def _absorbed(job: _Job, held: Absorbed, by_cluster: DataFrame | None, names: list[str], x_names: list[str], columns: list[DesignColumn], design: list[DesignColumn], levels: dict[str, list], absorbed: int, fe_levels: dict[str, list[str]], n_cells: int, reduced: DataFrame) -> RegressionResult:
+    """The same model with its largest fixed effect eliminated; its levels, and the intercept, are not among the coefficients."""
+    within, whole, (n_rows, sy, syy), n_groups = held.within()
+    q = held.layout.p
+    n = int(round(n_rows))
+    if not n:
+        raise ValueError("no complete rows")
+    explained = [k for k in range(q) if within[k, k] <= 1e-12 * max(whole[k, k], 1e-300)]  # by the groups
+    keep = [k for k in range(q) if k not in explained]
+    keep = [keep[k] for k in independent_columns(within[np.ix_(keep, keep)])]
+    gone = [names[k] for k in range(q) if k not in keep]
+    xx, xy = within[np.ix_(keep, keep)], within[keep, q]
+    beta, inverse = solve_normal(xx, xy) if keep else (np.zeros(0), np.zeros((0, 0)))
+    full = np.zeros(q)
+    full[keep] = beta
+    df = max(n - len(keep) - n_groups, 1)
+    rss, meat, clusters = float(within[q, q] - 2 * beta @ xy + beta @ xx @ beta), None, None
+    if job.vcov == "hc1":
+        rss, meat = held.meat(full, True)
+    elif by_cluster is not None:
+        meat, clusters = held.cluster_meat(by_cluster, full)
+    if meat is not None:
+        meat = meat[np.ix_(keep, keep)]
+    k = len(keep) + n_groups - (nested_levels(job.df, list(job.formula.fe), job.cluster) if job.cluster and job.ssc == "nested" else 0)
+    covariance = _covariance(job, inverse, meat, rss, n, df, k, clusters)
+    kept_names = [names[j] for j in keep]
+    return RegressionResult(
+        job.formula, kept_names, beta, covariance, job.vcov, "compress", n, df, rss, float(syy - sy**2 / n), [r for r in x_names if r in kept_names], nobs=n_cells, n_clusters=clusters,
+        collinear=gone, compression_ratio=n_cells / n, compression_ratio_est=job.ratio_est, query=job.query, design=design, levels=levels, fe_levels=fe_levels, data=reduced,
+        absorbed=job.formula.fe[absorbed], effects=held.effects(full),
+    )
+
+
 def _as_text(level: object) -> str:
     """As Spark casts it to a string."""
     if isinstance(level, bool):

@@ -41,6 +41,8 @@ class RegressionResult:
     levels: dict[str, list] = field(default_factory=dict)
     fe_levels: dict[str, list[str]] = field(default_factory=dict)
     data: DataFrame | None = None  # compressed rows, of strategy compress
+    absorbed: str | None = None  # a fixed effect of too many levels for coefficients; ``effects``: (a, effect) of its levels
+    effects: DataFrame | None = None
 
     @property
     def fe(self) -> tuple[str, ...]:
@@ -108,14 +110,19 @@ class RegressionResult:
 
         return predict(self, newdata, interval, level)
 
-    def summary(self, fe: bool = False) -> str:
+    def summary(self, fe: bool = False, fes: bool | None = None) -> str:
+        if fes is not None:
+            warnings.warn("fes is superseded by fe", DeprecationWarning, stacklevel=2)
+            fe = fes
         n = f"{self.nobs_orig:,}"
         head = {
-            "compress": f"Compressed OLS estimation, Dep. Var.: {self.formula.outcome}\nObservations.: {n} (original) | {self.nobs:,} (compressed)",
-            "demean": f"{'Demeaned' if len(self.fe) == 1 else 'Double Demeaned'} OLS estimation, Dep. Var.: {self.formula.outcome}\nObservations.: {n}",
-            "mundlak": f"{ {1: 'One-way', 2: 'Two-way'}.get(len(self.fe), f'{len(self.fe)}-way')} Mundlak OLS estimation, Dep. Var.: {self.formula.outcome}\nObservations.: {n}",
-            "moments": f"Moments-based OLS estimation, Dep. Var.: {self.formula.outcome}\nObservations.: {n}",
+            "compress": f"Least squares of {self.formula.outcome} by compress: {n} rows in {self.nobs:,} cells",
+            "demean": f"Least squares of {self.formula.outcome} by demean ({' and '.join(self.fe)}): {n} rows",
+            "mundlak": f"Least squares of {self.formula.outcome} by mundlak (means by {' and '.join(self.fe)}): {n} rows",
+            "moments": f"Least squares of {self.formula.outcome} by moments: {n} rows",
         }[self.strategy]
+        if self.absorbed:
+            head += f"\nAbsorbed: {self.absorbed}"
         label = f"Clustered ({self.n_clusters} clusters)" if self.vcov_type == "cluster" else LABELS[self.vcov_type]
         rows = [("", "Estimate", "Std. Error", "t value", "Pr(>|t|)", "")]
         for r in self.tidy_rows(fe=fe):
@@ -127,8 +134,7 @@ class RegressionResult:
         g = self.gof()
         tail = f"---\nSignif. codes: 0 '***' 0.001 '**' 0.01 '*' 0.05 '.' 0.1 ' ' 1\nRMSE: {g['rmse']:.6g}   Adj. R2: {g['adj_r2']:.6g}"
         if self.collinear:
-            n_gone = len(self.collinear)
-            tail += f"\n{n_gone} variable{'s were' if n_gone > 1 else ' was'} removed because of collinearity ({', '.join(self.collinear)})"
+            tail += f"\nLeft out as collinear: {', '.join(self.collinear)}"
         return f"{head}\nStandard Errors: {label}\n{table}\n{tail}"
 
     def __str__(self) -> str:

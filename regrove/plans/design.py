@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -45,12 +46,28 @@ def level_text(level: object) -> str:
     return str(level)
 
 
+#: Levels of a factor that may become columns.
+MAX_LEVELS = 10_000
+
+
+def sql_name(name: str) -> str:
+    """A column in SQL text, quoted where it must be."""
+    return name if re.fullmatch(r"[A-Za-z_]\w*", name) else f"`{name.replace('`', '``')}`"
+
+
 def factor_levels(df: DataFrame, names: list[str], given: dict[str, list] | None = None, ref: dict[str, object] | None = None) -> dict[str, list]:
-    """Sorted distinct levels over all rows, one job for all factors; ``given`` levels keep their order, a ``ref`` level comes first."""
+    """Sorted distinct levels over all rows, one job for all factors; ``given`` levels keep their order, a ``ref`` level comes first.
+
+    Levels come to the driver, so a factor with more than MAX_LEVELS raises; at most one level more is held of each.
+    """
     given, ref = given or {}, ref or {}
     asked = [n for n in dict.fromkeys(names) if n not in given]
     found = {n: list(given[n]) for n in names if n in given}
     if asked:
+        sizes = df.agg(*[F.approx_count_distinct(F.col(f"`{n}`"), 0.02) for n in asked]).first() if len(asked) else []
+        for n, size in zip(asked, sizes):
+            if size > MAX_LEVELS:
+                raise ValueError(f"factor {n!r} has about {size:,} levels, more than {MAX_LEVELS:,}; use it as a fixed effect")
         row = df.agg(*[F.sort_array(F.collect_set(F.col(f"`{n}`"))).alias(f"c{k}") for k, n in enumerate(asked)]).first()
         found |= {n: list(row[k]) for k, n in enumerate(asked)}
     for n, level in ref.items():
@@ -63,13 +80,13 @@ def factor_levels(df: DataFrame, names: list[str], given: dict[str, list] | None
 
 def one_hot(name: str, level: object) -> DesignColumn:
     text = level_text(level) if isinstance(level, bool) else str(level).replace("'", "''")
-    sql = f"CASE WHEN {name} = {str(level).lower() if isinstance(level, bool) else f"'{text}'" if isinstance(level, str) else level} THEN 1.0 ELSE 0.0 END"
+    sql = f"CASE WHEN {sql_name(name)} = {str(level).lower() if isinstance(level, bool) else f"'{text}'" if isinstance(level, str) else level} THEN 1.0 ELSE 0.0 END"
     return DesignColumn(f"{name}{level_text(level)}", F.when(F.col(f"`{name}`") == F.lit(level), 1.0).otherwise(0.0), sql)
 
 
 def _expanded(df: DataFrame, name: str, kinds: dict[str, str], levels: dict[str, list], drop_reference: bool) -> list[DesignColumn]:
     if kinds[name] != "factor":
-        return [DesignColumn(name, F.col(f"`{name}`").cast("double"), name)]
+        return [DesignColumn(name, F.col(f"`{name}`").cast("double"), sql_name(name))]
     own = levels[name]
     if len(own) < 2:
         return [DesignColumn(f"{name}_constant", F.lit(1.0), "1")]
@@ -99,7 +116,7 @@ def model_matrix(formula: Formula | str, df: DataFrame, *, expand: str = "all",
         if len(term) == 1:
             v = term[0]
             if kinds[v] == "factor" and expand == "interactions":
-                out.append(DesignColumn(v, F.col(f"`{v}`"), v, factor=v))
+                out.append(DesignColumn(v, F.col(f"`{v}`"), sql_name(v), factor=v))
             else:
                 out += _expanded(df, v, kinds, known, True)
             continue

@@ -6,8 +6,12 @@ from .design import ModelMatrix
 from .formula import Formula
 
 
-def strategy_sql(strategy: str, formula: Formula, matrix: ModelMatrix, source: str, needed: list[str]) -> str:
-    """One statement; ``source``: the table that stands after FROM; rows with a null in ``needed`` are dropped."""
+def strategy_sql(strategy: str, formula: Formula, matrix: ModelMatrix, source: str, needed: list[str], numeric: list[str] = ()) -> str:
+    """One statement; ``source``: the table that stands after FROM; rows with a null in ``needed`` are dropped.
+
+    ``numeric``: the numeric variables of the formula, whose group means a Mundlak model has. Sums are named by the places of the model's
+    columns: sum_x1, sum_x1_y, sum_x1_x2; in a Mundlak model the means follow the regressors, by variable, then fixed effect.
+    """
     q = lambda n: f"`{n}`"
     x = [(f"x{k}", c.sql) for k, c in enumerate(matrix.columns, 1)]
     where = " WHERE " + " AND ".join(f"{q(n)} IS NOT NULL" for n in needed) if needed else ""
@@ -40,17 +44,20 @@ def strategy_sql(strategy: str, formula: Formula, matrix: ModelMatrix, source: s
         parts.append(f"demeaned AS (SELECT {tilde}, {', '.join(n for n, _ in fe)} FROM base {joins})")
         counts = ", ".join(f"COUNT(DISTINCT {n}) AS n_{n}" for n, _ in fe)
         return "WITH " + ",\n".join(parts) + f"\nSELECT {_sums([f'{c}_tilde' for c in columns], 'y_tilde')}, {counts} FROM demeaned"
-    parts, joins, bars = [base], "", []
-    for k, (n, _) in enumerate(fe, 1):
-        parts.append(f"m{k} AS (SELECT {n}, {', '.join(f'AVG({c}) AS {c}_bar{k}' for c in columns)} FROM base GROUP BY {n})")
-        joins += f" JOIN m{k} USING ({n})"
-        bars += [f"{c}_bar{k}" for c in columns]
+    own = [(f"v{k}", v) for k, v in enumerate(numeric, 1)]
+    base = base.replace(f" FROM {source}", "".join(f", CAST({q(v)} AS DOUBLE) AS {n}" for n, v in own) + f" FROM {source}", 1)
+    parts, joins = [base], ""
+    if own:
+        for k, (n, _) in enumerate(fe, 1):
+            parts.append(f"m{k} AS (SELECT {n}, {', '.join(f'AVG({v}) AS {v}_bar{k}' for v, _ in own)} FROM base GROUP BY {n})")
+            joins += f" JOIN m{k} USING ({n})"
+    bars = [f"{v}_bar{k}" for v, _ in own for k in range(1, len(fe) + 1)]
     return "WITH " + ",\n".join(parts) + f"\nSELECT {_sums([*columns, *bars])} FROM base{joins}"
 
 
 def _sums(columns: list[str], y: str = "y") -> str:
     out = ["COUNT(*) AS n_total", f"SUM({y}) AS sum_y", f"SUM({y} * {y}) AS sum_y_sq"]
     for i, a in enumerate(columns):
-        out += [f"SUM({a}) AS sum_{i + 1}", f"SUM({a} * {y}) AS sum_{i + 1}_y"]
-        out += [f"SUM({a} * {b}) AS sum_{i + 1}_{j + 1}" for j, b in enumerate(columns[i:], i)]
+        out += [f"SUM({a}) AS sum_x{i + 1}", f"SUM({a} * {y}) AS sum_x{i + 1}_y"]
+        out += [f"SUM({a} * {b}) AS sum_x{i + 1}_x{j + 1}" for j, b in enumerate(columns[i:], i)]
     return ", ".join(out)

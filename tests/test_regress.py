@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 import regrove
 from regrove import regress
+import regrove.operators.regress as R
 from regrove.operators.gram import gram
 from regrove.operators.strategy import choose, is_balanced, nested_levels
+from regrove.sources.relation import relation
 from regrove.streaming.accumulate import StreamingRegression
 
 
@@ -168,7 +170,7 @@ def test_results(rows, panel, spark):
     e = panel.y - np.column_stack([np.ones(120), panel.x1, panel.x2, *dummies(panel.firm.to_numpy())]) @ fit.beta
     r2 = 1 - (e @ e) / ((panel.y - panel.y.mean()) ** 2).sum()
     assert fit.gof()["r2"] == pytest.approx(r2) and fit.glance(spark).first()["nobs"] == 120
-    assert "Compressed OLS" in str(fit) and "Heteroskedasticity-robust" in str(fit) and "firm" not in str(fit)
+    assert "by compress" in str(fit) and "Heteroskedasticity-robust" in str(fit) and "firm" not in str(fit)
     with pytest.warns(DeprecationWarning):
         fit.coef(fes=True)
 
@@ -204,3 +206,88 @@ def test_streamed_batches_add_up(rows, spark, tmp_path):
     assert np.allclose(model.result().beta, want.beta) and len(model.seen) >= 2
     model.update(rows, 0)
     assert model.result().nobs_orig == 120
+
+
+@pytest.mark.parametrize("how", [{"vcov": "iid"}, {"vcov": "hc1"}, {"cluster": "g"}, {"cluster": "g", "ssc": "nested"}])
+def test_absorbed_fixed_effect(spark, monkeypatch, how):
+    """A fixed effect with many levels is eliminated: coefficients and standard errors of the rest as with a column for each level."""
+    rng = np.random.default_rng(4)
+    n = 800
+    firm, year = rng.integers(0, 60, n), rng.integers(0, 5, n)
+    x = rng.integers(0, 6, n).astype(float)
+    frame = pd.DataFrame({"firm": firm, "year": [f"y{v}" for v in year], "x": x, "z": np.round(rng.normal(size=n), 1), "firm_size": firm * 2.0, "g": firm // 6})
+    frame["y"] = 1000 + 2 * x - frame.z + firm * 0.5 + year + rng.normal(size=n) * (1 + x)
+    df = spark.createDataFrame(frame)
+    formula = "y ~ x + z + firm_size | firm + year"
+    want = regress(formula, table=df, strategy="compress", **how)
+    monkeypatch.setattr(R, "DENSE_COLUMNS", 30)
+    got = regress(formula, table=df, strategy="compress", **how)
+    assert got.absorbed == "firm" and "firm_size" in got.collinear and "firm" in str(got)
+    at = [want.names.index(v) for v in ("x", "z")]
+    assert [got.names.index(v) for v in ("x", "z")] == [0, 1]
+    if "firm_size" not in want.collinear:  # without a scan order that drops it, the last level of the firm is dropped instead
+        at = [want.names.index(v) for v in ("x", "z")]
+    assert got.beta[:2] == pytest.approx(want.beta[at], rel=1e-8)
+    assert got.std_errors()[:2] == pytest.approx(want.std_errors()[at], rel=1e-6)
+    assert got.df_residual == want.df_residual and got.rss == pytest.approx(want.rss, rel=1e-8)
+    fits = [{(r["firm"], r["year"], r["x"], r["z"]): r["fit"] for r in m.predict(df).collect()} for m in (got, want)]
+    assert fits[0] == pytest.approx(fits[1], rel=1e-6)
+    with pytest.raises(ValueError, match="absorbed"):
+        got.predict(df, interval="confidence")
+    monkeypatch.setattr(R, "DENSE_COLUMNS", 3)
+    with pytest.raises(ValueError, match="levels of fixed effects besides"):
+        regress(formula, table=df, strategy="compress")
+
+
+def test_many_levels_take_little_memory(spark):
+    """50,000 levels of a fixed effect: no matrix of that size anywhere."""
+    df = spark.range(150_000).select((F.col("id") % 50_000).alias("firm"), (F.col("id") % 7).cast("double").alias("x"), ((F.col("id") % 7) * 3.0 + (F.col("id") % 50_000)).alias("y"))
+    fit = regress("y ~ x | firm", table=df, strategy="compress", vcov="hc1")
+    assert fit.absorbed == "firm" and fit.beta[0] == pytest.approx(3.0) and fit.df_residual == 150_000 - 50_001
+
+
+def test_large_means_cost_no_digits(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=500)
+    y = 2 * x + rng.normal(size=500)
+    small, large = (regress("y ~ x", table=spark.createDataFrame(pd.DataFrame({"x": x + a, "y": y + a})), strategy="moments", vcov=v) for a in (0.0, 1e7) for v in ("hc1",))
+    assert large.beta[1] == pytest.approx(small.beta[1], rel=1e-7) and large.rss == pytest.approx(small.rss, rel=1e-6)
+    assert large.std_errors()[1] == pytest.approx(small.std_errors()[1], rel=1e-6)
+
+
+def test_reader_calls(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("y;x\n1;2\n3;NA\n")
+    (tmp_path / "b.csv").write_text("y;x\n5;6\n")
+    call = f"read_csv('{tmp_path}/a.csv', delim = ';', header=true, nullstr='NA', auto_detect=true)"
+    assert sorted(map(tuple, relation(spark, path=call).collect())) == [(1, 2), (3, None)]
+    both = relation(spark, path=f"read_csv(['{tmp_path}/a.csv', '{tmp_path}/b.csv'], sep=';', nullstr='NA')")
+    assert both.columns == ["y", "x"] and both.count() == 3
+    bare = relation(spark, path=f"read_csv_auto('{tmp_path}/b.csv', delim=';', header=false)")
+    assert bare.count() == 2
+    for bad in ("read_csv('f', unknown=1)", "read_csv(f)", "read_csv('f', ';')", "read_nothing('f')"):
+        with pytest.raises(ValueError):
+            relation(spark, path=bad)
+
+
+@pytest.mark.parametrize("strategy", ["moments", "mundlak"])
+def test_sql_has_the_values_of_the_model(spark, strategy):
+    """The sums that the SQL gives, solved here, are the fitted model."""
+    rng = np.random.default_rng(7)
+    n = 300
+    frame = pd.DataFrame({"x": rng.normal(size=n), "f": rng.choice(["a", "b", "it's"], n), "w": rng.normal(size=n), "firm": rng.integers(0, 9, n), "year": rng.integers(0, 4, n)})
+    frame["y"] = frame.x - frame.w + frame.firm + rng.normal(size=n)
+    df = spark.createDataFrame(frame).withColumnRenamed("w", "odd name")
+    df.createOrReplaceTempView("sums_of_a_model")
+    formula = "y ~ x + f + x:f" + (" | firm + year" if strategy == "mundlak" else "")
+    fit = regress(formula, table=df, strategy=strategy)
+    row = spark.sql(regress(formula, table="sums_of_a_model", strategy=strategy, sql_only=True)).first().asDict()
+    p = len(fit.names)
+    assert not fit.collinear and f"sum_x{p - 1}" in row and f"sum_x{p}" not in row
+    a, b = np.zeros((p, p)), np.zeros(p)
+    a[0, 0], b[0] = row["n_total"], row["sum_y"]
+    for i in range(1, p):
+        a[0, i] = a[i, 0] = row[f"sum_x{i}"]
+        b[i] = row[f"sum_x{i}_y"]
+        for j in range(i, p):
+            a[i, j] = a[j, i] = row[f"sum_x{i}_x{j}"]
+    assert np.linalg.solve(a, b) == pytest.approx(fit.beta, rel=1e-6, abs=1e-6)
