@@ -109,6 +109,25 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, label: str, seed: int, most: int, most_bytes: int) -> tuple[pa.Array, np.ndarray]:
+    """(texts, labels 0 or 1) of documents chosen by a hash of the id: at most about ``most``, and ``most_bytes`` of text; in order of id, label and text.
+
+    Documents with more than a quarter of ``most_bytes`` are not chosen.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col(label).cast("int").alias("_label"))
+    share = min(1.0, most / max(1, known.count()))
+    text = F.col("text").cast("string")
+    docs = docs.where(F.octet_length(F.coalesce(text, F.lit(""))) <= most_bytes // 4).select("doc_id", text.alias("text"))
+
+    def chosen(share: float) -> DataFrame:
+        lot = unit(F.lit(seed), F.col("doc_id")) < share
+        return docs.where(lot).join(known.where(lot), "doc_id")
+
+    size = chosen(share).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = chosen(share * min(1.0, most_bytes / max(1, size))).orderBy("doc_id", "_label", "text").toArrow()
+    return rows.column("text").combine_chunks(), rows.column("_label").to_numpy()
+
+
 def unit(*cols: Column) -> Column:
     """A number in [0, 1) hashed from the columns."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / float(1 << 53)

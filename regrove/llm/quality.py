@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _textnp as tn
-from ._shared import quoted, small_batches, unit
+from ._shared import quoted, small_batches, training_rows
 
 #: Buckets that words and n-grams are hashed into, size of their vectors, and bytes of an n-gram.
 BUCKETS_LOG2, DIM, GRAMS = 17, 16, (3, 4)
-#: Labelled documents that a model is trained on at most (about; they are chosen by a hash of the id).
-MAX_TRAIN = 4000
+#: Labelled documents, and bytes of their texts, that a model is trained on at most (about; they are chosen by a hash of the id).
+MAX_TRAIN, MAX_BYTES = 4000, 16_000_000
 
 
 @dataclass
@@ -69,12 +69,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(buckets), np.concatenate(docs)
 
 
-def train(texts: list[str | None], labels: np.ndarray, *, epochs: int = 5, rate: float = 0.5, seed: int = 0) -> Model:
+def train(texts: list[str | None] | pa.Array, labels: np.ndarray, *, epochs: int = 5, rate: float = 0.5, seed: int = 0) -> Model:
     """SGD over single documents with a falling step; no texts: a model that scores all the same."""
     rng = np.random.default_rng(seed)
     model = Model(rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKETS_LOG2, DIM)).astype(np.float32), np.zeros((2, DIM), np.float32), np.zeros(2, np.float32))
     bags: list[tuple[np.ndarray, np.ndarray]] = []
-    for _, _, data, offsets in tn.chunks(pa.array(texts, pa.string())):
+    for _, _, data, offsets in tn.chunks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())):
         bucket, doc = features(data, offsets)
         order = np.argsort(doc, kind="stable")
         cuts = np.searchsorted(doc[order], np.arange(len(offsets)))
@@ -97,19 +97,18 @@ def train(texts: list[str | None], labels: np.ndarray, *, epochs: int = 5, rate:
         model.output -= now * np.outer(p, hidden)
         model.bias -= 0.02 * now * p
         model.vectors[ids] = held - (now * part[:, None] * len(part) ** 0.5) * back
+    del bags
+    tn.trim()
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "quality", most: int = MAX_TRAIN) -> Model:
-    """A model of ``labels`` (doc_id and ``label``, 0 or 1) on at most about ``most`` documents for which ``usable`` (of doc_id) holds.
+    """A model of ``labels`` (doc_id and ``label``, 0 or 1) on at most about ``most`` documents, and MAX_BYTES of text, for which ``usable`` (of doc_id) holds.
 
     Null ids and labels teach nothing; neither do labels without a document. Repeated rows count as often as they stand there. Rows are
     taken in order of id, label and text, so that reruns train the same model.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col(label).cast("int").alias("_label"))
-    chosen = unit(F.lit(31), F.col("doc_id")) < min(1.0, most / max(1, known.count()))
-    rows = docs.where(chosen).select("doc_id", "text").join(known.where(chosen), "doc_id").orderBy("doc_id", "_label", "text").toPandas()
-    return train(rows["text"].tolist(), rows["_label"].to_numpy())
+    return train(*training_rows(docs, labels, usable, label, 31, most, MAX_BYTES))
 
 
 def score(df: DataFrame, model: Model, *, text: str = "text", name: str = "score") -> DataFrame:

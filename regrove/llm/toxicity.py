@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _textnp as tn
-from ._shared import quoted, small_batches, unit
+from ._shared import quoted, small_batches, training_rows
 
 BUCKETS_LOG2 = 18
 #: Bytes at the beginning and at the end of a word that make features.
 HEADS, TAILS = (4, 5, 6, 7, 8), (4,)
-#: Labelled documents that a model is trained on at most (about; they are chosen by a hash of the id).
-MAX_TRAIN = 4000
+#: Labelled documents, and bytes of their texts, that a model is trained on at most (about; they are chosen by a hash of the id).
+MAX_TRAIN, MAX_BYTES = 4000, 16_000_000
 #: A feature marks toxic words if so many toxic documents have it and its smoothed odds are so many times even,
 LEAST_DOCS, LEAST_ODDS = 4, 12.0
 #: And if chance would hardly do that: twice the log-likelihood ratio of its documents.
@@ -33,6 +33,8 @@ LEAST_RATIO = 30.0
 EDGE = 4
 #: Words that a group of documents run side by side fills at most, blanks included.
 CELLS = 1 << 19
+#: Bytes of text whose documents are run side by side.
+SIDE_BY_SIDE = 1 << 20
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
@@ -109,7 +111,9 @@ def laid_out(first: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def marginals(tok: Tokens, model: Model) -> np.ndarray:
     """Log-odds that each word is toxic."""
-    emitted = model.weights[tok.features].sum(1) if len(tok.features) else np.zeros(0)
+    emitted = np.zeros(len(tok.features))
+    for column in tok.features.T:
+        emitted += model.weights[column]
     out = np.zeros(len(emitted))
     for group in groups(tok.first):
         place, live = laid_out(tok.first, group)
@@ -136,7 +140,9 @@ def token_labels(tok: Tokens, toxic: np.ndarray) -> np.ndarray:
     size = 1 << BUCKETS_LOG2
     counts = np.zeros((2, size))
     for column in tok.features.T:
-        pairs = np.sort(doc * np.int64(size) + column)
+        pairs = doc * np.int64(size)
+        pairs += column
+        pairs.sort()
         pairs = pairs[np.diff(pairs, prepend=-1) > 0]
         of = toxic[pairs // size].astype(bool)
         counts[1] += np.bincount(pairs[of] % size, minlength=size)
@@ -146,22 +152,33 @@ def token_labels(tok: Tokens, toxic: np.ndarray) -> np.ndarray:
     expected = counts.sum(0) * (n / n.sum())[:, None]
     ratio = 2 * (counts * np.log(np.maximum(counts, 1e-9) / np.maximum(expected, 1e-9))).sum(0)
     telling = (counts[1] >= LEAST_DOCS) & (odds >= LEAST_ODDS) & (ratio >= LEAST_RATIO)
-    return telling[tok.features].any(1) & toxic[doc].astype(bool)
+    found = np.zeros(len(doc), bool)
+    for column in tok.features.T:
+        found |= telling[column]
+    return found & toxic[doc].astype(bool)
 
 
-def train(texts: list[str | None], toxic: np.ndarray, *, epochs: int = 6, rate: float = 0.5, cells: int = 1 << 15) -> Model:
-    """Adagrad on the likelihood of the token labels, then Newton steps for the document law. No texts: all scores are even."""
+def train(texts: list[str | None] | pa.Array, toxic: np.ndarray, *, epochs: int = 6, rate: float = 0.5, cells: int = 1 << 15) -> Model:
+    """Adagrad on the likelihood of the token labels, then Newton steps for the document law. No texts: nothing counts as toxic."""
     model = Model(np.zeros(1 << BUCKETS_LOG2), np.zeros((2, 2)), 0.0, np.zeros(4))
     if not len(texts):
+        model.law[0] = -4.0
         return model
     # Only features and lengths are kept, a chunk of texts at a time.
     features, sizes = [], []
-    for _, _, data, offsets in tn.chunks(pa.array(texts, pa.string())):
+    for _, _, data, offsets in tn.chunks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())):
         part = tokens(data, offsets)
         features.append(part.features)
         sizes.append(np.diff(part.first))
     none = np.zeros(0, np.int64)
-    tok = Tokens(none, none, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(features))
+    first = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    whole = np.empty((int(first[-1]), 1 + len(HEADS) + len(TAILS)), np.int32)
+    at = 0
+    while features:
+        part = features.pop(0)
+        whole[at : at + len(part)] = part
+        at += len(part)
+    tok = Tokens(none, none, first, whole)
     labels = token_labels(tok, toxic)
     squares, move_squares = np.full(len(model.weights), 1e-8), np.full((2, 2), 1e-8)
     model.weights[:] = 0.0
@@ -196,21 +213,18 @@ def train(texts: list[str | None], toxic: np.ndarray, *, epochs: int = 6, rate:
         p = tn.sigmoid(x @ law)
         law -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(4), x.T @ (p - toxic) + 0.5 * law)
     model.law = law
-    del tok, features, batches, x
+    del tok, whole, part, batches, x
     tn.trim()
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", most: int = MAX_TRAIN) -> Model:
-    """A model of ``labels`` (doc_id and ``label``, 0 or 1) on at most about ``most`` documents for which ``usable`` (of doc_id) holds.
+    """A model of ``labels`` (doc_id and ``label``, 0 or 1) on at most about ``most`` documents, and MAX_BYTES of text, for which ``usable`` (of doc_id) holds.
 
     Null ids and labels teach nothing; neither do labels without a document. Repeated rows count as often as they stand there. Rows are
     taken in order of id, label and text, so that reruns train the same model.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", F.col(label).cast("int").alias("_label"))
-    chosen = unit(F.lit(32), F.col("doc_id")) < min(1.0, most / max(1, known.count()))
-    rows = docs.where(chosen).select("doc_id", "text").join(known.where(chosen), "doc_id").orderBy("doc_id", "_label", "text").toPandas()
-    return train(rows["text"].tolist(), rows["_label"].to_numpy())
+    return train(*training_rows(docs, labels, usable, label, 32, most, MAX_BYTES))
 
 
 SPAN = "array<struct<start:bigint,stop:bigint>>"
@@ -231,7 +245,7 @@ def tag(df: DataFrame, model: Model, *, text: str = "text", keep_text: bool = Fa
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, found = [], []
-            for _, _, data, offsets in tn.chunks(batch.column(len(others))):
+            for _, _, data, offsets in tn.chunks(batch.column(len(others)), SIDE_BY_SIDE):
                 tok = tokens(data, offsets)
                 odds = marginals(tok, shared.value)
                 scores.append(tn.sigmoid(summary(odds, tok.first) @ shared.value.law))
