@@ -110,10 +110,12 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
 
 
 def per_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` from each text's first entry to the next text's."""
-    total = np.zeros(len(values) + 1, np.float64)
-    np.cumsum(values, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
+    """Sums of ``values`` from each text's first entry to the next text's; they do not depend on the texts before."""
+    out = np.zeros(len(first) - 1)
+    has = np.diff(first) > 0
+    if has.any():
+        out[has] = np.add.reduceat(np.asarray(values, float), first[:-1][has])
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
