@@ -3,15 +3,17 @@
 Texts are kept as blocks of about ``BLOCK_TOKENS`` tokens in a table bucketed by block. Counting is an exchange:
 each block sends its distinct n-grams (packed, a binary per part of the key space), each part adds them up and
 answers every block with the totals of what it asked for. So shuffles carry a few bytes for each distinct n-gram of a
-block, and the blocks themselves are never shuffled: answers are joined to them by bucket. A token is scored
-recursively inside its block, from the totals and the backoff weights of its n-grams.
+block (a row holds those that a block and a part share, so there are never more rows than distinct n-grams of blocks), and the blocks
+themselves are never shuffled: answers are joined to them by bucket. A token is scored recursively inside its block, from the totals and
+the backoff weights of its n-grams. ``fit_katz`` keeps the model as two tables by level and part, with which ``score_katz`` scores any texts.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _textnp as tn
-from ._shared import pack, released, unpack, written
+from ._shared import pack, released, small_batches, unpack, written
 
 BLOCK_TOKENS = 1_000_000
 #: Tokens of the input for each part of the key space.
@@ -114,6 +116,9 @@ def slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
 
 ASK = "level int, part int, block long, keys binary, a binary, b binary, c binary"
 TOLD = "level int, part int, block long, a binary, b binary, stats array<double>"
+#: Blocks of rows that are for the model and not for a block: counts of counts, and a part's n-grams (in ``stats``' place none).
+STATS, KEPT = -1, -2
+KEPT_TOLD = TOLD + ", keys binary"
 
 
 def table_of(rows: list[tuple], schema: str) -> pa.Table:
@@ -134,7 +139,12 @@ def counts_asked(order: int, bits: int):
     return ask
 
 
-def count_part(table: pa.Table) -> pa.Table:
+def count_part(keep: bool):
+    """``keep``: with a row of the part's n-grams that were seen, for the model's table."""
+    return lambda table: _count_part(table, keep)
+
+
+def _count_part(table: pa.Table, keep: bool) -> pa.Table:
     """Totals of a part's n-grams for each block that asked, whether it is the one to speak for an n-gram, and counts of counts."""
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
     keys = [unpack(r["keys"], np.uint64) for r in rows]
@@ -147,11 +157,14 @@ def count_part(table: pa.Table) -> pa.Table:
     out, at = [], 0
     for r, k in zip(rows, keys):
         mine = slice(at, at + len(k))
-        out.append((r["level"], r["part"], r["block"], pack(totals[of[mine]]), pack(speaks[mine]), None))
+        out.append((r["level"], r["part"], r["block"], pack(totals[of[mine]]), pack(speaks[mine]), None, None))
         at += len(k)
+    if keep:
+        there = totals > 0
+        out.append((rows[0]["level"], rows[0]["part"], KEPT, pack(totals[there]), None, None, pack(found[there])))
     seen = totals[totals > 0]
     stats = [float(len(seen)), float(seen.sum()), *np.bincount(np.minimum(seen, K + 2), minlength=K + 3)[1 : K + 2].astype(float).tolist()]
-    return table_of([*out, (rows[0]["level"], rows[0]["part"], -1, None, None, stats)], TOLD)
+    return table_of([*out, (rows[0]["level"], rows[0]["part"], STATS, None, None, stats, None)], KEPT_TOLD)
 
 
 def discounts(of_counts: np.ndarray) -> np.ndarray:
@@ -194,7 +207,7 @@ class Model:
 
 
 def model_of(told: DataFrame, order: int) -> Model:
-    stats = {r["level"]: np.array([r[f"s{k}"] for k in range(K + 3)]) for r in told.where("block < 0").groupBy("level").agg(*[F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(K + 3)]).collect()}
+    stats = {r["level"]: np.array([r[f"s{k}"] for k in range(K + 3)]) for r in told.where(F.col("block") == STATS).groupBy("level").agg(*[F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(K + 3)]).collect()}
     discount = [discounts(stats[n][2:] if n in stats else np.zeros(K + 1)) for n in range(1, order + 1)]
     kinds, tokens, *of_counts = stats.get(1, np.zeros(K + 3))
     lost = sum((1 - d) * r * n for r, d, n in zip(range(1, K + 1), discount[0], of_counts))
@@ -256,7 +269,11 @@ def weights_asked(model: Model, n: int, bits: int):
     return ask
 
 
-def weigh_part(table: pa.Table) -> pa.Table:
+def weigh_part(keep: bool):
+    return lambda table: _weigh_part(table, keep)
+
+
+def _weigh_part(table: pa.Table, keep: bool) -> pa.Table:
     """Backoff weight and count of each history, for each block that asked."""
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
     keys = [unpack(r["keys"], np.uint64) for r in rows]
@@ -270,11 +287,52 @@ def weigh_part(table: pa.Table) -> pa.Table:
     out, at = [], 0
     for r, k in zip(rows, keys):
         mine = of[at : at + len(k)]
-        out.append((r["level"], r["part"], r["block"], pack(weight[mine]), pack(told[mine]), None))
+        out.append((r["level"], r["part"], r["block"], pack(weight[mine]), pack(told[mine]), None, None))
         at += len(k)
+    if keep:
+        there = count > 0
+        out.append((rows[0]["level"], rows[0]["part"], KEPT, pack(weight[there]), pack(told[there]), None, pack(found[there])))
+    return table_of(out, KEPT_TOLD)
+
+
+def looked_up(asked: np.ndarray, keys: np.ndarray, values: np.ndarray, other: float) -> np.ndarray:
+    """Values of the asked keys; ``other`` for those that are not there."""
+    if not len(keys):
+        return np.full(len(asked), other, values.dtype)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], other).astype(values.dtype)
+
+
+def told_by_tables(left: pa.Table, right: pa.Table) -> pa.Table:
+    """What blocks ask of a part, answered from the model's tables."""
+    rows = right.to_pylist()
+    out = []
+    keys = unpack(rows[0]["keys"], np.uint64) if rows else np.zeros(0, np.uint64)
+    for r in left.to_pylist():
+        asked = unpack(r["keys"], np.uint64)
+        if r["level"] > 0:
+            counts = unpack(rows[0]["a"], np.int64) if rows else np.zeros(0, np.int64)
+            out.append((r["level"], r["part"], r["block"], pack(looked_up(asked, keys, counts, 0)), pack(np.zeros(len(asked), bool)), None))
+        else:
+            weights, counts = (unpack(rows[0][c], np.float64) if rows else np.zeros(0) for c in "ab")
+            out.append((r["level"], r["part"], r["block"], pack(looked_up(asked, keys, weights, 1.0)), pack(looked_up(asked, keys, counts, 0.0)), None))
     return table_of(out, TOLD)
 
 
+def all_asked(order: int, bits: int):
+    """Keys of a block's n-grams, and of the histories of each level."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                held = opened(row, order)
+                asked = [(n, level.keys) for n, level in enumerate(held, 1)] + [(-n, histories(held[n - 1], held[n - 2])[0]) for n in range(2, order + 1)]
+                for n, keys in asked:
+                    yield from table_of([(n, p, row["block"], pack(keys[a:b]), b"", b"", b"") for p, a, b in slices(keys, bits)], ASK).to_batches()
+
+    return ask
+
+
 def score_block(model: Model, kind: str):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -296,38 +354,97 @@ def score_block(model: Model, kind: str):
 SCORES = ["doc", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
-def katz_scores(docs: DataFrame, train: str, *, doc: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
-    """(doc, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text, by a model of the texts for which ``train`` holds.
+@dataclass
+class Tables:
+    """A model: ``ngrams`` (level, part, keys, a: counts) and ``backoffs`` (level -n of the n-grams whose histories they weigh, part, keys, a: weights, b: counts).
 
-    Tokens: words (A-Z as a-z, split at ASCII white space), then one end. Counts up to K are Good-Turing discounted; what seen words leave goes to
-    unseen ones in proportion to the next lower order, so that the words of the vocabulary and one unknown word have
-    a sum of 1 after every history. ``score`` and ``base_score`` (single tokens with 0.1 added to every count) are log10 of the text's probability. Null and empty texts are an
-    end alone; null ``train``: not learnt from. Repeated rows count and are returned each. Without training texts every token is unknown. No rows: no rows.
+    A row for each level and part: keys sorted, in packed arrays; a part holds the keys of one range of hashes.
     """
+
+    model: Model
+    bits: int
+    ngrams: DataFrame
+    backoffs: DataFrame | None
+
+
+def _blocked(docs: DataFrame, doc: str, text: str, train: str, work: Callable[[DataFrame], object]) -> object:
+    """``work`` on the blocks of ``docs`` as a table bucketed by block, which is dropped afterwards."""
     spark = docs.sparkSession
-    kind = dict(docs.select(F.col(doc)).dtypes)[doc]
-    cut = blocks(docs.withColumn(train, F.coalesce(F.col(train), F.lit(False))), doc, text, train)
+    small_batches(spark)
     name = f"regrove_katz_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cut = blocks(docs.withColumn(train, F.coalesce(F.col(train), F.lit(False))), doc, text, train)
     cut.write.bucketBy(buckets, "block").sortBy("block").format("parquet").saveAsTable(name)
     try:
-        held = spark.table(name)
-        n_tokens = held.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
-        bits = max(0, (max(1, n_tokens // PART_TOKENS) - 1).bit_length())
-        asked = held.mapInArrow(counts_asked(order, bits), ASK)
-        told = written(asked.groupBy("level", "part").applyInArrow(count_part, TOLD), "counts")
-        model = model_of(told, order)
-        del asked
-        released(spark)
-        answers = told.where("block >= 0")
-        by_block = lambda: held.groupBy("block").cogroup(answers.groupBy("block"))
-        for n in range(2, order + 1):
-            asked = by_block().applyInArrow(weights_asked(model, n, bits), ASK)
-            answers = answers.union(written(asked.groupBy("level", "part").applyInArrow(weigh_part, TOLD), "weights"))
-            del asked
-            released(spark)
-        schema = f"doc {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        scores = written(by_block().applyInArrow(score_block(model, kind), schema), "scores")
+        return work(spark.table(name))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-    return scores.withColumnRenamed("doc", doc)
+
+
+def _by_block(held: DataFrame, answers: DataFrame):  # noqa: ANN202
+    return held.groupBy("block").cogroup(answers.groupBy("block"))
+
+
+def _learnt(held: DataFrame, order: int, keep: bool) -> tuple[Model, int, DataFrame, list[DataFrame]]:
+    """(model, bits of a part, answers to all blocks, tables that hold the model's rows if they are kept)."""
+    spark = held.sparkSession
+    n_tokens = held.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
+    bits = max(0, (max(1, n_tokens // PART_TOKENS) - 1).bit_length())
+    asked = held.mapInArrow(counts_asked(order, bits), ASK)
+    told = written(asked.groupBy("level", "part").applyInArrow(count_part(keep), KEPT_TOLD), "counts")
+    model, kept = model_of(told, order), [told]
+    del asked
+    released(spark)
+    answers = told.where("block >= 0").drop("keys")
+    for n in range(2, order + 1):
+        asked = _by_block(held, answers).applyInArrow(weights_asked(model, n, bits), ASK)
+        kept.append(written(asked.groupBy("level", "part").applyInArrow(weigh_part(keep), KEPT_TOLD), "weights"))
+        answers = answers.union(kept[-1].where("block >= 0").drop("keys"))
+        del asked
+        released(spark)
+    return model, bits, answers, kept
+
+
+def _scores(docs: DataFrame, doc: str, model: Model, held: DataFrame, answers: DataFrame) -> DataFrame:
+    kind = dict(docs.select(F.col(doc)).dtypes)[doc]
+    schema = f"doc {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return written(_by_block(held, answers).applyInArrow(score_block(model, kind), schema), "scores").withColumnRenamed("doc", doc)
+
+
+def katz_scores(docs: DataFrame, train: str, *, doc: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
+    """(doc, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text, by a model of the texts for which ``train`` holds.
+
+    Tokens: words (A-Z as a-z, split at ASCII white space), then one end. Counts up to K are Good-Turing discounted; what seen words leave goes to
+    unseen ones in proportion to the next lower order, so that the words of the vocabulary and one unknown word have
+    a sum of 1 after every history. ``score`` and ``base_score`` (single tokens with 0.1 added to every count) are log10 of the text's probability. Null and empty texts are an
+    end alone; null ``train``: not learnt from. Repeated rows count and are returned each. Without training texts every token is unknown. No rows: no rows.
+    """
+
+    def work(held: DataFrame) -> DataFrame:
+        model, _, answers, _ = _learnt(held, order, False)
+        return _scores(docs, doc, model, held, answers)
+
+    return _blocked(docs, doc, text, train, work)
+
+
+def fit_katz(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", order: int = 2) -> Tables:
+    """The model of all texts of ``docs``, as tables in the shared folder."""
+
+    def work(held: DataFrame) -> Tables:
+        model, bits, _, kept = _learnt(held, order, True)
+        mine = [t.where(F.col("block") == KEPT).select("level", "part", "keys", "a", "b") for t in kept]
+        return Tables(model, bits, mine[0], reduce(DataFrame.union, mine[1:]) if order > 1 else None)
+
+    return _blocked(docs.withColumn("_train", F.lit(True)), doc, text, "_train", work)
+
+
+def score_katz(docs: DataFrame, tables: Tables, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``katz_scores``, of any texts by a model that ``fit_katz`` made; all are held out."""
+
+    def work(held: DataFrame) -> DataFrame:
+        asked = held.mapInArrow(all_asked(tables.model.order, tables.bits), ASK)
+        known = tables.ngrams if tables.backoffs is None else tables.ngrams.union(tables.backoffs)
+        answers = asked.groupBy("level", "part").cogroup(known.groupBy("level", "part")).applyInArrow(told_by_tables, TOLD)
+        return _scores(docs, doc, tables.model, held, written(answers, "answers"))
+
+    return _blocked(docs.withColumn("_train", F.lit(False)), doc, text, "_train", work)

@@ -252,6 +252,61 @@ def test_katz(docs, texts, monkeypatch):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
+def test_katz_of_order_three(docs, texts):
+    """Against recursion on plain counts; the words of the vocabulary and an unknown one sum to 1 after every kind of history."""
+    learnt = [k % 4 != 0 for k in range(len(texts))]
+    tokens = [[*words(t), "</end>"] for t in texts]
+    history = lambda w, n, t: tuple(w[max(0, t - n + 1) : t]) if t >= n - 1 else (None, *w[:t])
+    count, after = {n: collections.Counter() for n in (1, 2, 3)}, {n: collections.defaultdict(collections.Counter) for n in (2, 3)}
+    for w, use in zip(tokens, learnt):
+        for t, x in enumerate(w if use else []):
+            count[1][x] += 1
+            for n in (2, 3):
+                count[n][history(w, n, t), x] += 1
+                after[n][history(w, n, t)][x] += 1
+    n_all = sum(count[1].values())
+    d = {n: katz.discounts([collections.Counter(count[n].values())[r] for r in range(1, katz.K + 2)]) for n in count}
+    kept = lambda n, c: c * (d[n][c - 1] if 1 <= c <= katz.K else 1.0)
+    lost = 1 - sum(kept(1, c) for c in count[1].values()) / n_all
+    weights = {}
+
+    def p(n, h, x):
+        if n == 1:
+            return kept(1, count[1][x]) / n_all if count[1][x] else lost
+        lower = h[1:] if n == 3 and len(h) == 2 else h
+        seen = after[n].get(h)
+        if not seen:
+            return p(n - 1, lower, x)
+        if (n, h) not in weights:
+            c, k = sum(seen.values()), sum(kept(n, v) for v in seen.values())
+            size = c + katz.LEAST if k > c * (1 - 1e-12) else c
+            weights[n, h] = size, (1 - k / size) / (1 - sum(p(n - 1, lower, y) for y in seen))
+        size, weight = weights[n, h]
+        return kept(n, seen[x]) / size if seen[x] else weight * p(n - 1, lower, x)
+
+    got = {r["doc_id"]: r["score"] for r in katz.katz_scores(docs.withColumn("train", F.col("doc_id") % 4 != 0), "train", order=3).collect()}
+    for k, w in enumerate(tokens):
+        assert got[k] == pytest.approx(sum(math.log10(p(3, history(w, 3, t), x)) for t, x in enumerate(w)), rel=1e-8), k
+    some = [h for h in after[3] if len(h) == 2][:15] + [(None,), ("never", "seen")]
+    assert [sum(p(3, h, x) for x in [*count[1], "never seen"]) for h in some] == pytest.approx([1.0] * len(some))
+
+
+def test_katz_tables_score_other_texts(spark, docs, texts, monkeypatch):
+    """A model kept as tables scores its own texts as the model in one go does, and others as if they stood beside them unlearnt."""
+    monkeypatch.setattr(katz, "PART_TOKENS", 5000)
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 2000)
+    both = docs.withColumn("learnt", F.col("doc_id") % 3 != 0)
+    for order in (1, 2, 3):
+        want = {r["doc_id"]: r for r in katz.katz_scores(both, "learnt", order=order).collect()}
+        tables = katz.fit_katz(both.where("learnt"), order=order)
+        got = {r["doc_id"]: r for r in katz.score_katz(docs, tables).collect()}
+        assert len(got) == len(want) and all(r["held_out"] for r in got.values())
+        for k, r in want.items():
+            assert got[k]["score"] == pytest.approx(r["score"], rel=1e-9) and got[k]["base_score"] == pytest.approx(r["base_score"], rel=1e-9)
+            assert (got[k]["n_known"], got[k]["train_tokens"]) == (r["n_known"], r["train_tokens"])
+    assert tables.ngrams.columns == ["level", "part", "keys", "a", "b"] and {r["level"] for r in tables.ngrams.collect()} == {1, 2, 3}
+
+
 def test_katz_orders_and_edges(spark):
     df = spark.createDataFrame([(1, "a b a b c", True), (2, None, True), (3, "a b z", False), (4, "", None)], "doc_id long, text string, train boolean")
     for order in (1, 2, 3):
