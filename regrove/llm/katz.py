@@ -119,6 +119,8 @@ TOLD = "level int, part int, block long, a binary, b binary, stats array<double>
 #: Blocks of rows that are for the model and not for a block: counts of counts, and a part's n-grams (in ``stats``' place none).
 STATS, KEPT = -1, -2
 KEPT_TOLD = TOLD + ", keys binary"
+#: Marks of an n-gram in a block.
+SPEAKS, SHARED = np.uint8(1), np.uint8(2)
 
 
 def table_of(rows: list[tuple], schema: str) -> pa.Table:
@@ -128,11 +130,13 @@ def table_of(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array(list(column), kinds[kind]) for (name, kind), column in zip(fields, columns)})
 
 
-def counts_asked(order: int, bits: int):
+def counts_asked(wanted: range, bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for n, level in enumerate(opened(row, order), 1):
+                held = opened(row, wanted[-1])
+                for n in wanted:
+                    level = held[n - 1]
                     rows = [(n, p, row["block"], pack(level.keys[a:b]), pack(level.counts[a:b].astype(np.int64)), b"", b"") for p, a, b in slices(level.keys, bits)]
                     yield from table_of(rows, ASK).to_batches()
 
@@ -145,19 +149,19 @@ def count_part(keep: bool):
 
 
 def _count_part(table: pa.Table, keep: bool) -> pa.Table:
-    """Totals of a part's n-grams for each block that asked, whether it is the one to speak for an n-gram, and counts of counts."""
+    """Totals of a part's n-grams for each block that asked, marks (whether it is the one to speak for an n-gram, and whether others have it too), and counts of counts."""
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
     keys = [unpack(r["keys"], np.uint64) for r in rows]
     counts = np.concatenate([unpack(r["a"], np.int64) for r in rows])
     found, of = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.bincount(of, counts, minlength=len(found)).astype(np.int64)
-    speaks = np.zeros(len(of), bool)
+    marks = np.where(np.bincount(of)[of] > 1, np.uint8(SHARED), np.uint8(0))
     has = np.flatnonzero(counts > 0)
-    speaks[has[np.unique(of[has], return_index=True)[1]]] = True
+    marks[has[np.unique(of[has], return_index=True)[1]]] |= SPEAKS
     out, at = [], 0
     for r, k in zip(rows, keys):
         mine = slice(at, at + len(k))
-        out.append((r["level"], r["part"], r["block"], pack(totals[of[mine]]), pack(speaks[mine]), None, None))
+        out.append((r["level"], r["part"], r["block"], pack(totals[of[mine]]), pack(marks[mine]), None, None))
         at += len(k)
     if keep:
         there = totals > 0
@@ -222,47 +226,82 @@ def told_to(right: pa.Table, level: int, kinds: tuple[type, type]) -> tuple[np.n
     return tuple(np.concatenate([unpack(r[c], k) for r in rows]) if rows else np.zeros(0, k) for c, k in zip("ab", kinds))
 
 
-def evaluated(row: dict, right: pa.Table, model: Model, upto: int) -> tuple[list[Level], list[np.ndarray], list[np.ndarray]]:
-    """(levels, totals, probability of each n-gram's last word after its history), for n up to ``upto``."""
+def evaluated(row: dict, right: pa.Table, model: Model, upto: int, local: bool) -> tuple[list[Level], list[np.ndarray], list[np.ndarray]]:
+    """(levels, totals, probability of each n-gram's last word after its history), for n up to ``upto``.
+
+    ``local``: a history that no other block has is weighed here, for all that follows it stands in this block.
+    """
     held = opened(row, model.order)
-    totals = [told_to(right, n, (np.int64, np.bool_))[0] for n in range(1, model.order + 1)]
+    told = [told_to(right, n, (np.int64, np.uint8)) for n in range(1, model.order + 1)]
+    totals = [t for t, _ in told]
     p = [model.words(totals[0])]
     for n in range(2, upto + 1):
         level, below = held[n - 1], held[n - 2]
-        weight, total = told_to(right, -n, (np.float64, np.float64))  # of the histories: backoff weight; count, negative if none is discounted
-        weight, total = weight[told_place(level, below)], total[told_place(level, below)]
+        past = histories(level, below, told[n - 2][1], local)
+        lower = p[n - 2][shorter(level, below)]
+        weight, total = np.ones(len(past.keys)), np.zeros(len(past.keys))  # backoff weight; count, negative if none is discounted
+        weight[past.asked], total[past.asked] = told_to(right, -n, (np.float64, np.float64))
+        if local:
+            here = ~past.asked
+            sums = [np.bincount(past.of, x, minlength=len(past.keys))[here] for x in spoken(model, n, totals[n - 1], lower, totals[n - 1] > 0)]
+            weight[here], total[here] = weighed(*sums)
+        weight, total = weight[past.of], total[past.of]
         size = np.abs(total)
         seen = model.discounted(n, totals[n - 1]) / np.maximum(np.where(total < 0, size + LEAST, size), 1e-300)
-        # The n-gram below: the same last word after the history without its first word.
-        shorter = np.zeros(len(level.keys), np.int64)
-        shorter[level.of] = below.of
-        p.append(np.where(totals[n - 1] > 0, seen, weight * p[n - 2][shorter]))
+        p.append(np.where(totals[n - 1] > 0, seen, weight * lower))
     return held, totals, p
 
 
-def histories(level: Level, below: Level) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted keys of the block's distinct histories, of each n-gram: which)."""
-    keys, of = np.unique(level.history_keys(below)[level.history], return_inverse=True)
-    return keys, of
+def shorter(level: Level, below: Level) -> np.ndarray:
+    """Of each n-gram the one below: the same last word after the history without its first word."""
+    out = np.zeros(len(level.keys), np.int64)
+    out[level.of] = below.of
+    return out
+
+
+def spoken(model: Model, n: int, totals: np.ndarray, lower: np.ndarray, speaks: np.ndarray) -> list[np.ndarray]:
+    """What each n-gram adds to its history's count, discounted counts, and probabilities one level below."""
+    return [np.where(speaks, x, 0.0) for x in (totals, model.discounted(n, totals), lower)]
+
+
+def weighed(count: np.ndarray, kept: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(backoff weight, count or less it if none is discounted) of histories: what the discounts leave, over what their unseen words have one level below."""
+    bare = (count > 0) & (kept > count * (1 - 1e-12))
+    size = np.where(bare, count + LEAST, count)
+    with np.errstate(all="ignore"):
+        weight = np.where(count > 0, (1 - kept / size) / np.maximum(1 - below, 1e-300), 1.0)
+    return weight, np.where(bare, -count, count)
+
+
+@dataclass
+class Past:
+    keys: np.ndarray  # sorted, of the block's distinct histories
+    of: np.ndarray  # of each n-gram: which
+    asked: np.ndarray  # whether its weight is asked for
 
 
-def told_place(level: Level, below: Level) -> np.ndarray:
-    return histories(level, below)[1]
+def histories(level: Level, below: Level, marks: np.ndarray, local: bool) -> Past:
+    keys, first, of = np.unique(level.history_keys(below)[level.history], return_index=True, return_inverse=True)
+    asked = np.ones(len(keys), bool)
+    if local:
+        at = level.history[first]
+        asked[at >= 0] = (marks[at[at >= 0]] & SHARED) > 0
+    return Past(keys, of, asked)
 
 
-def weights_asked(model: Model, n: int, bits: int):
-    """Each block speaks for some n-grams: for each history the sums of their counts, discounted counts and probabilities one level below."""
+def weights_asked(model: Model, n: int, bits: int, local: bool):
+    """Each block speaks for some n-grams: for each history that others may have, the sums of what these add."""
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            held, totals, p = evaluated(row, right, model, n - 1)
+            held, totals, p = evaluated(row, right, model, n - 1, local)
             level, below = held[n - 1], held[n - 2]
-            speaks = told_to(right, n, (np.int64, np.bool_))[1]
-            keys, of = histories(level, below)
-            shorter = np.zeros(len(level.keys), np.int64)
-            shorter[level.of] = below.of
-            sums = [np.bincount(of, np.where(speaks, x, 0.0), minlength=len(keys)) for x in (totals[n - 1], model.discounted(n, totals[n - 1]), p[n - 2][shorter])]
+            speaks = (told_to(right, n, (np.int64, np.uint8))[1] & SPEAKS) > 0
+            past = histories(level, below, told_to(right, n - 1, (np.int64, np.uint8))[1], local)
+            adds = spoken(model, n, totals[n - 1], p[n - 2][shorter(level, below)], speaks)
+            sums = [np.bincount(past.of, x, minlength=len(past.keys))[past.asked] for x in adds]
+            keys = past.keys[past.asked]
             out += [(-n, part, row["block"], pack(keys[a:b]), *(pack(s[a:b]) for s in sums)) for part, a, b in slices(keys, bits)]
         return table_of(out, ASK)
 
@@ -279,11 +318,7 @@ def _weigh_part(table: pa.Table, keep: bool) -> pa.Table:
     keys = [unpack(r["keys"], np.uint64) for r in rows]
     found, of = np.unique(np.concatenate(keys), return_inverse=True)
     count, kept, below = (np.bincount(of, np.concatenate([unpack(r[c], np.float64) for r in rows]), minlength=len(found)) for c in "abc")
-    bare = (count > 0) & (kept > count * (1 - 1e-12))
-    size = np.where(bare, count + LEAST, count)
-    with np.errstate(all="ignore"):
-        weight = np.where(count > 0, (1 - kept / size) / np.maximum(1 - below, 1e-300), 1.0)
-    told = np.where(bare, -count, count)
+    weight, told = weighed(count, kept, below)
     out, at = [], 0
     for r, k in zip(rows, keys):
         mine = of[at : at + len(k)]
@@ -312,7 +347,7 @@ def told_by_tables(left: pa.Table, right: pa.Table) -> pa.Table:
         asked = unpack(r["keys"], np.uint64)
         if r["level"] > 0:
             counts = unpack(rows[0]["a"], np.int64) if rows else np.zeros(0, np.int64)
-            out.append((r["level"], r["part"], r["block"], pack(looked_up(asked, keys, counts, 0)), pack(np.zeros(len(asked), bool)), None))
+            out.append((r["level"], r["part"], r["block"], pack(looked_up(asked, keys, counts, 0)), pack(np.full(len(asked), SHARED)), None))
         else:
             weights, counts = (unpack(rows[0][c], np.float64) if rows else np.zeros(0) for c in "ab")
             out.append((r["level"], r["part"], r["block"], pack(looked_up(asked, keys, weights, 1.0)), pack(looked_up(asked, keys, counts, 0.0)), None))
@@ -326,18 +361,18 @@ def all_asked(order: int, bits: int):
         for batch in batches:
             for row in batch.to_pylist():
                 held = opened(row, order)
-                asked = [(n, level.keys) for n, level in enumerate(held, 1)] + [(-n, histories(held[n - 1], held[n - 2])[0]) for n in range(2, order + 1)]
+                asked = [(n, level.keys) for n, level in enumerate(held, 1)] + [(-n, histories(held[n - 1], held[n - 2], np.zeros(0, np.uint8), False).keys) for n in range(2, order + 1)]
                 for n, keys in asked:
                     yield from table_of([(n, p, row["block"], pack(keys[a:b]), b"", b"", b"") for p, a, b in slices(keys, bits)], ASK).to_batches()
 
     return ask
 
 
-def score_block(model: Model, kind: str):
+def score_block(model: Model, kind: str, local: bool):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for k, row in enumerate(left.select(["block", "train", "sizes", "words", "tokens"]).to_pylist()):
-            held, totals, p = evaluated(row, right, model, model.order)
+            held, totals, p = evaluated(row, right, model, model.order, local)
             sizes = np.array(row["sizes"], np.int64)
             first = np.concatenate([[0], np.cumsum(sizes)])
             counts = totals[0][held[0].of]
@@ -385,33 +420,38 @@ def _by_block(held: DataFrame, answers: DataFrame):  # noqa: ANN202
     return held.groupBy("block").cogroup(answers.groupBy("block"))
 
 
-def _learnt(held: DataFrame, order: int, keep: bool) -> tuple[Model, int, DataFrame, list[DataFrame]]:
-    """(model, bits of a part, answers to all blocks, tables that hold the model's rows if they are kept)."""
+def _learnt(held: DataFrame, order: int, keep: bool) -> tuple[Model, int, DataFrame, list[DataFrame], list[DataFrame]]:
+    """(model, bits of a part, answers to all blocks, tables of counts and of weights, with the model's rows if they are kept, which asks for the weights of all histories)."""
     spark = held.sparkSession
     n_tokens = held.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
     bits = max(0, (max(1, n_tokens // PART_TOKENS) - 1).bit_length())
-    asked = held.mapInArrow(counts_asked(order, bits), ASK)
-    told = written(asked.groupBy("level", "part").applyInArrow(count_part(keep), KEPT_TOLD), "counts")
-    model, kept = model_of(told, order), [told]
-    del asked
-    released(spark)
+    kept = []
+    # Single words go with pairs; of longer ones there are so many that each length has an exchange of its own.
+    for wanted in [range(1, min(order, 2) + 1), *(range(n, n + 1) for n in range(3, order + 1))]:
+        asked = held.mapInArrow(counts_asked(wanted, bits), ASK)
+        kept.append(written(asked.groupBy("level", "part").applyInArrow(count_part(keep), KEPT_TOLD), "counts"))
+        del asked
+        released(spark)
+    told = reduce(DataFrame.union, kept)
+    model = model_of(told, order)
     answers = told.where("block >= 0").drop("keys")
+    counts = len(kept)
     for n in range(2, order + 1):
-        asked = _by_block(held, answers).applyInArrow(weights_asked(model, n, bits), ASK)
+        asked = _by_block(held, answers).applyInArrow(weights_asked(model, n, bits, not keep), ASK)
         kept.append(written(asked.groupBy("level", "part").applyInArrow(weigh_part(keep), KEPT_TOLD), "weights"))
         answers = answers.union(kept[-1].where("block >= 0").drop("keys"))
         del asked
         released(spark)
-    return model, bits, answers, kept
+    return model, bits, answers, kept[:counts], kept[counts:]
 
 
-def _scores(docs: DataFrame, doc: str, model: Model, held: DataFrame, answers: DataFrame) -> DataFrame:
+def _scores(docs: DataFrame, doc: str, model: Model, held: DataFrame, answers: DataFrame, local: bool) -> DataFrame:
     kind = dict(docs.select(F.col(doc)).dtypes)[doc]
     schema = f"doc {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return written(_by_block(held, answers).applyInArrow(score_block(model, kind), schema), "scores").withColumnRenamed("doc", doc)
+    return written(_by_block(held, answers).applyInArrow(score_block(model, kind, local), schema), "scores").withColumnRenamed("doc", doc)
 
 
-def katz_scores(docs: DataFrame, train: str, *, doc: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
+def katz_scores(docs: DataFrame, train: str, *, doc: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
     """(doc, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text, by a model of the texts for which ``train`` holds.
 
     Tokens: words (A-Z as a-z, split at ASCII white space), then one end. Counts up to K are Good-Turing discounted; what seen words leave goes to
@@ -421,19 +461,19 @@ def katz_scores(docs: DataFrame, train: str, *, doc: str = "doc_id", text: str =
     """
 
     def work(held: DataFrame) -> DataFrame:
-        model, _, answers, _ = _learnt(held, order, False)
-        return _scores(docs, doc, model, held, answers)
+        model, _, answers, *_ = _learnt(held, order, False)
+        return _scores(docs, doc, model, held, answers, True)
 
     return _blocked(docs, doc, text, train, work)
 
 
-def fit_katz(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", order: int = 2) -> Tables:
+def fit_katz(docs: DataFrame, *, doc: str = "doc_id", text: str = "text", order: int = 3) -> Tables:
     """The model of all texts of ``docs``, as tables in the shared folder."""
 
     def work(held: DataFrame) -> Tables:
-        model, bits, _, kept = _learnt(held, order, True)
-        mine = [t.where(F.col("block") == KEPT).select("level", "part", "keys", "a", "b") for t in kept]
-        return Tables(model, bits, mine[0], reduce(DataFrame.union, mine[1:]) if order > 1 else None)
+        model, bits, _, counts, weights = _learnt(held, order, True)
+        mine = lambda tables: reduce(DataFrame.union, [t.where(F.col("block") == KEPT).select("level", "part", "keys", "a", "b") for t in tables])
+        return Tables(model, bits, mine(counts), mine(weights) if weights else None)
 
     return _blocked(docs.withColumn("_train", F.lit(True)), doc, text, "_train", work)
 
@@ -445,6 +485,6 @@ def score_katz(docs: DataFrame, tables: Tables, *, doc: str = "doc_id", text: st
         asked = held.mapInArrow(all_asked(tables.model.order, tables.bits), ASK)
         known = tables.ngrams if tables.backoffs is None else tables.ngrams.union(tables.backoffs)
         answers = asked.groupBy("level", "part").cogroup(known.groupBy("level", "part")).applyInArrow(told_by_tables, TOLD)
-        return _scores(docs, doc, tables.model, held, written(answers, "answers"))
+        return _scores(docs, doc, tables.model, held, written(answers, "answers"), False)
 
     return _blocked(docs.withColumn("_train", F.lit(False)), doc, text, "_train", work)
