@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,11 +13,15 @@ STRATEGIES = ("auto", "compress", "moments", "demean", "mundlak")
 ALIASES = {"within": "demean"}
 
 
+#: Distance from a limit, as a part of it, within which distinct tuples are counted rather than estimated, and the error of the estimate.
+NEAR, ESTIMATE = 0.25, 0.03
+
+
 @dataclass(frozen=True)
 class Choice:
     strategy: str
     n_rows: int | None = None
-    n_cells: int | None = None
+    n_cells: int | None = None  # an estimate, where that is far enough from the limits
     ratio: float | None = None
 
 
@@ -27,6 +32,14 @@ def distinct_tuples(df: DataFrame, names: list[str]) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
+def cells_of(df: DataFrame, names: list[str], limits: list[Callable[[int], float]]) -> tuple[int, int]:
+    """(distinct tuples, rows): an estimate, by a sketch that is merged without a shuffle, unless it comes near one of ``limits`` (of the rows); then exact."""
+    about, rows = df.agg(F.approx_count_distinct(F.xxhash64(*[F.col(f"`{n}`") for n in names]), ESTIMATE), F.count("*")).first()
+    if any(abs(about - limit(rows)) <= NEAR * limit(rows) for limit in limits):
+        return distinct_tuples(df, names)
+    return min(about, rows), rows
+
+
 def is_balanced(df: DataFrame, unit: str, time: str, *, strict: bool = True) -> bool:
     """Whether all cells of two fixed effects have the same size; ``strict``: and none of them is missing."""
     cells = df.groupBy(F.col(f"`{unit}`").alias("u"), F.col(f"`{time}`").alias("t")).agg(F.count("*").alias("n"))
@@ -75,7 +88,7 @@ def choose(df: DataFrame, strategy: str, xvars: list[str], fe: list[str], *, com
         return Choice(strategy)
     if len(fe) >= 3:
         return Choice("compress")
-    cells, rows = distinct_tuples(df, [*dict.fromkeys([*xvars, *fe])])
+    cells, rows = cells_of(df, [*dict.fromkeys([*xvars, *fe])], [lambda n: compress_ratio * n, lambda n: compress_nmax])
     ratio = cells / max(rows, 1)
     fails = ratio > compress_ratio or cells > compress_nmax
     if not fe:

@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.binscatter import BinscatterResult, bin_geometry, binscatter, equal_width_bins, manual_bins, ntile_bins
+from .functions.tdist import t_quantile
+from .operators.binscatter import BinscatterResult, bin_geometry, binscatter, equal_width_bins, log_breaks, manual_bins, ntile_bins
 from .operators.regress import regress
 from .operators.result import RegressionResult
-from .operators.strategy import choose, is_balanced, nested_levels
+from .operators.strategy import choose, distinct_tuples, is_balanced, nested_levels
 from .plans.design import factor_levels, model_matrix
 from .plans.oracle import regression_sql, solved_ctes
 
@@ -24,7 +25,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Group means hardly differ, which makes Mundlak models ill-conditioned and their coefficients large.
-MUNDLAK_DIGITS = 2
+MUNDLAK_DIGITS = 4
 
 
 def _terms(spark: SparkSession, fit: RegressionResult) -> DataFrame:
@@ -69,6 +70,9 @@ for _v in ("iid", "hc1", "cluster"):
     _bars = f"(SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY l_partkey) AS m_{c}' for c in XS)} FROM lineitem) w"
     QUERIES[f"mundlak_1fe_{_v}"] = _lineitem(f"{PLAIN} | l_partkey", strategy="mundlak", **_how)
     ORACLES[f"mundlak_1fe_{_v}"] = regression_sql(_rows([*_X, *(f"m_{c}" for c in XS)], g=_g, source=_bars), [*_N, *(f"{c}_bar_l_partkey" for c in XS)], vcov=_v, digits=MUNDLAK_DIGITS)
+    _within = f"(SELECT *, {', '.join(f'{c} - avg({c}) OVER (PARTITION BY l_orderkey) AS d_{c}' for c in [*XS, Y])} FROM lineitem) w"
+    QUERIES[f"compress_absorbed_{_v}"] = _lineitem(f"{PLAIN} | l_orderkey", strategy="compress", **_how)
+    ORACLES[f"compress_absorbed_{_v}"] = regression_sql(_rows([f"d_{c}" for c in XS], f"d_{Y}", _g, _within), XS, vcov=_v, extra="(SELECT count(DISTINCT l_orderkey) FROM lineitem)")
 QUERIES["compress_fe_nested"] = _lineitem(FE, strategy="compress", cluster="l_returnflag", ssc="nested")
 ORACLES["compress_fe_nested"] = regression_sql(_rows(_XF, g="l_returnflag"), _NF, vcov="cluster", k="6 - (SELECT count(DISTINCT l_returnflag) FROM lineitem)")
 _two = f"(SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY {f}) AS m{k}_{c}' for c in XS for k, f in enumerate(('l_partkey', 'l_orderkey')))} FROM lineitem) w"
@@ -107,11 +111,11 @@ ORACLES["demean_2fe"] = regression_sql(
 
 def compress_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = regress(FE, table=_read(spark, sf_dir, "lineitem"), strategy="compress", data_only=True)
-    return cells.select("l_quantity", "l_discount", "l_returnflag", "l_linestatus", "n", F.round("sum_Y", 2).alias("sum_y"), F.round("mean_Y", 4).alias("mean_y"), F.round("wts", 6).alias("wts"))
+    return cells.select("l_quantity", "l_discount", "l_returnflag", "l_linestatus", "n", F.round("sum_Y", 2).alias("sum_y"), F.round("mean_Y", 8).alias("mean_y"), F.round("wts", 6).alias("wts"))
 
 
 QUERIES["compress_cells"] = compress_cells
-ORACLES["compress_cells"] = f"SELECT l_quantity, l_discount, l_returnflag, l_linestatus, count(*) AS n, round(sum({Y}), 2) AS sum_y, round(sum({Y}) / count(*), 4) AS mean_y, round(sqrt(count(*)), 6) AS wts FROM lineitem GROUP BY ALL"
+ORACLES["compress_cells"] = f"SELECT l_quantity, l_discount, l_returnflag, l_linestatus, count(*) AS n, round(sum({Y}), 2) AS sum_y, round(sum({Y}) / count(*), 8) AS mean_y, round(sqrt(count(*)), 6) AS wts FROM lineitem GROUP BY ALL"
 
 
 def auto_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +130,15 @@ def auto_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("two_fe_balanced", ["x", "y"], ["user_id", "event_type"], _panel(spark, sf_dir)),
     ):
         c = choose(df, "auto", x, fe, compress_ratio=None, compress_nmax=1_000_000)
-        out.append((name, c.n_rows, c.n_cells, round(c.ratio, 6), c.strategy))
-    return spark.createDataFrame(out, "model string, n_rows long, n_cells long, ratio double, strategy string")
+        out.append((name, c.n_rows, c.strategy))
+    return spark.createDataFrame(out, "model string, n_rows long, strategy string")
+
+
+def distinct_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells and rows of the same models, counted."""
+    rows, panel = _read(spark, sf_dir, "lineitem"), _panel(spark, sf_dir)
+    cases = [("no_fe", ["l_quantity"], rows), ("no_fe_wide", ["l_quantity", "l_extendedprice"], rows), ("two_fe", ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"], rows), ("two_fe_balanced", ["x", "y", "user_id", "event_type"], panel)]
+    return spark.createDataFrame([(n, *distinct_tuples(d, x)) for n, x, d in cases], "model string, n_cells long, n_rows long")
 
 
 def _case(name: str, cells: str, source: str, limit: float, good: str, bad: str) -> str:
@@ -135,7 +146,12 @@ def _case(name: str, cells: str, source: str, limit: float, good: str, bad: str)
 
 
 QUERIES["auto_choice"] = auto_choice
-ORACLES["auto_choice"] = "SELECT model, n_rows, n_cells, round(n_cells / n_rows, 6) AS ratio, CASE WHEN n_cells / n_rows <= l AND n_cells <= 1000000 THEN good ELSE bad END AS strategy FROM (" + " UNION ALL ".join([
+QUERIES["distinct_cells"] = distinct_cells
+ORACLES["distinct_cells"] = " UNION ALL ".join(
+    f"SELECT '{n}' AS model, (SELECT count(*) FROM (SELECT DISTINCT {c} FROM {s} s)) AS n_cells, (SELECT count(*) FROM {s} s) AS n_rows"
+    for n, c, s in [("no_fe", "l_quantity", "lineitem"), ("no_fe_wide", "l_quantity, l_extendedprice", "lineitem"), ("two_fe", "l_quantity, l_discount, l_returnflag, l_linestatus", "lineitem"), ("two_fe_balanced", "x, y, user_id, event_type", _PANEL)]
+)
+ORACLES["auto_choice"] = "SELECT model, n_rows, CASE WHEN n_cells / n_rows <= l AND n_cells <= 1000000 THEN good ELSE bad END AS strategy FROM (" + " UNION ALL ".join([
     _case("no_fe", "l_quantity", "lineitem", 0.01, "compress", "moments"),
     _case("no_fe_wide", "l_quantity, l_extendedprice", "lineitem", 0.01, "compress", "moments"),
     _case("one_fe", "l_quantity, l_extendedprice, l_suppkey", "lineitem", 0.6, "compress", "demean"),
@@ -203,22 +219,59 @@ s AS (SELECT sum(e * e) AS rss, sum(y * y) - sum(y) * sum(y) / count(*) AS tss,
 SELECT round(1 - rss / tss, 9) AS r_squared, round(1 - (rss / (n - 6)) / (tss / (n - 1)), 9) AS adj_r_squared, round(sqrt(rss / n), 4) AS rmse, n AS nobs, n - 6 AS df_residual FROM s"""
 
 
-def predict_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of a model with fixed effects for orders' first lines, and how wide their confidence is in units of t."""
-    rows = _read(spark, sf_dir, "lineitem")
-    fit = regress(FE, table=rows, strategy="compress")
-    out = fit.predict(rows.where("l_linenumber = 1").select("l_orderkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"), interval="confidence")
-    from .functions.tdist import t_quantile
+_KEYS = ["l_orderkey", "l_linenumber"]
+
 
-    return out.select("l_orderkey", F.round("fit", 3).alias("fit"), F.round((F.col("upr") - F.col("fit")) / t_quantile(0.975, fit.df_residual), 3).alias("se"))
+def _predicted(formula: str, strategy: str, interval: str = "none") -> Query:
+    """Predictions for all rows, and how wide their interval is in units of t."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _read(spark, sf_dir, "lineitem")
+        fit = regress(formula, table=rows, strategy=strategy)
+        out = fit.predict(rows, interval=interval)
+        half = [F.round((F.col("upr") - F.col("fit")) / t_quantile(0.975, fit.df_residual), 3).alias("se")] if interval != "none" else []
+        return out.select(*_KEYS, F.round("fit", 3).alias("fit"), *half)
+
+    return run
 
 
-QUERIES["predict_confidence"] = predict_fit
-ORACLES["predict_confidence"] = f"""WITH RECURSIVE {solved_ctes(_rows(_XF), 6)},
-s AS (SELECT sum(e * e) / (count(*) - 6) AS s2 FROM res),
-d AS (SELECT l_orderkey, [{', '.join(f'CAST({e} AS DOUBLE)' for e in _XF)}] AS x FROM lineitem WHERE l_linenumber = 1)
-SELECT l_orderkey, round(list_sum(list_transform(x, lambda v, i: v * beta[i])), 3) AS fit,
-  round(sqrt(s2 * list_sum(list_transform(x, lambda v, i: v * list_sum(list_transform(x, lambda w, j: w * inv[i][j]))))), 3) AS se FROM d, fit, s"""
+def _predicted_sql(x: list[str], extra: str | None) -> str:
+    """``extra``: what is added to the variance of the mean, or None for no interval."""
+    se = f""",
+  round(sqrt(s2 * ({extra} + list_sum(list_transform(x, lambda v, i: v * list_sum(list_transform(x, lambda w, j: w * inv[i][j])))))), 3) AS se""" if extra is not None else ""
+    return f"""WITH RECURSIVE {solved_ctes(_rows(x), len(x))},
+s AS (SELECT sum(e * e) / (count(*) - {len(x)}) AS s2 FROM res),
+d AS (SELECT l_orderkey, l_linenumber, [{', '.join(f'CAST({e} AS DOUBLE)' for e in x)}] AS x FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(list_sum(list_transform(x, lambda v, i: v * beta[i])), 3) AS fit{se} FROM d, fit, s"""
+
+
+QUERIES["predict_confidence"] = _predicted(FE, "compress", "confidence")
+ORACLES["predict_confidence"] = _predicted_sql(_XF, "0")
+QUERIES["predict_prediction"] = _predicted(FE, "compress", "prediction")
+ORACLES["predict_prediction"] = _predicted_sql(_XF, "1")
+QUERIES["predict_moments"] = _predicted(PLAIN, "moments", "confidence")
+ORACLES["predict_moments"] = _predicted_sql(_X, "0")
+_supp = f"(SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY l_suppkey) AS m_{c}' for c in [*XS, Y])} FROM lineitem) w"
+QUERIES["predict_demean"] = _predicted(f"{PLAIN} | l_suppkey", "demean")
+ORACLES["predict_demean"] = f"""WITH RECURSIVE {solved_ctes(_rows([f'{c} - m_{c}' for c in XS], f'{Y} - m_{Y}', source=_supp), 2)}
+SELECT l_orderkey, l_linenumber, round(m_{Y} + beta[1] * (l_quantity - m_l_quantity) + beta[2] * (l_discount - m_l_discount), 3) AS fit FROM {_supp}, fit"""
+_part = f"(SELECT *, {', '.join(f'avg({c}) OVER (PARTITION BY l_partkey) AS m_{c}' for c in XS)} FROM lineitem) w"
+QUERIES["predict_mundlak"] = _predicted(f"{PLAIN} | l_partkey", "mundlak")
+ORACLES["predict_mundlak"] = f"""WITH RECURSIVE {solved_ctes(_rows([*_X, *(f'm_{c}' for c in XS)], source=_part), 5)}
+SELECT l_orderkey, l_linenumber, round(beta[1] + beta[2] * l_quantity + beta[3] * l_discount + beta[4] * m_l_quantity + beta[5] * m_l_discount, 3) AS fit FROM {_part}, fit"""
+
+
+def tidy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coefficient table with fixed effects: statistics, how sure, and bounds in units of t."""
+    fit = regress(FE, table=_read(spark, sf_dir, "lineitem"), strategy="compress", vcov="hc1")
+    t = t_quantile(0.975, fit.df_residual)
+    rows = [(r["term"], r["statistic"], (r["conf.high"] - r["estimate"]) / t, (r["estimate"] - r["conf.low"]) / t, r["p.values"] < 0.05) for r in fit.tidy_rows(conf_int=True, fe=True)]
+    out = spark.createDataFrame(rows, "term string, statistic double, above double, below double, significant boolean")
+    return out.select("term", *[(F.round(c, 4) + 0.0).alias(c) for c in ("statistic", "above", "below")], "significant")
+
+
+QUERIES["tidy_terms"] = tidy_terms
+ORACLES["tidy_terms"] = f"SELECT term, round(estimate / std_error, 4) + 0.0 AS statistic, round(std_error, 4) + 0.0 AS above, round(std_error, 4) + 0.0 AS below, abs(estimate / std_error) > 1.96 AS significant FROM ({regression_sql(_rows(_XF), _NF, vcov='hc1', digits=12)})"
 
 _TIE = "l_extendedprice, l_orderkey, l_linenumber, l_quantity"
 
@@ -245,6 +298,16 @@ def bins_es(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["bins_es"] = bins_es
 ORACLES["bins_es"] = _COUNTED.format("SELECT l.*, least(8, floor((l_extendedprice - a) / ((b - a) / 8)) + 1) AS bin FROM lineitem l, (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS b FROM lineitem)")
+
+
+def bins_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "lineitem")
+    low, high = rows.agg(F.min("l_extendedprice"), F.max("l_extendedprice")).first()
+    return _counted(rows.withColumn("bin", manual_bins(F.col("l_extendedprice"), [low, *log_breaks(low, high, 8)[1:-1], high])).where("bin is not null"))
+
+
+QUERIES["bins_log"] = bins_log
+ORACLES["bins_log"] = _COUNTED.format("SELECT l.*, least(8, floor((ln(l_extendedprice) - ln(a)) / ((ln(b) - ln(a)) / 8)) + 1) AS bin FROM lineitem l, (SELECT min(l_extendedprice) AS a, max(l_extendedprice) AS b FROM lineitem)")
 _BREAKS = [1000.0, 20000.0, 50000.0, 80000.0, 90000.0]
 QUERIES["bins_manual"] = lambda spark, d: _counted(_read(spark, d, "lineitem").withColumn("bin", manual_bins(F.col("l_extendedprice"), _BREAKS)).where("bin is not null"))
 ORACLES["bins_manual"] = _COUNTED.format("SELECT *, CASE WHEN l_extendedprice >= 1000 AND l_extendedprice < 20000 THEN 1 WHEN l_extendedprice >= 20000 AND l_extendedprice < 50000 THEN 2 WHEN l_extendedprice >= 50000 AND l_extendedprice < 80000 THEN 3 WHEN l_extendedprice >= 80000 AND l_extendedprice <= 90000 THEN 4 END AS bin FROM lineitem")
@@ -286,17 +349,30 @@ ORACLES["binscatter_line"] = f"""WITH m AS (SELECT bin, min(l_extendedprice) AS
 SELECT bin, round(a + k * (b - a) / 2, 4) AS x, round(i + s * (a + k * (b - a) / 2), 4) AS fit FROM m, range(0, 3) g(k)"""
 
 
-def _spline_sql() -> str:
-    """A linear spline in thousands, whose knots are the right ends of the first five bins."""
-    knots = [f"greatest(0, l_extendedprice - (SELECT k[{j}] FROM kn)) / 1000" for j in range(1, 6)]
+def _spline_sql(degree: int = 1, vcov: str | None = None, g: str = "0") -> str:
+    """A spline in thousands, whose knots are the right ends of the first five bins; with ``vcov``, standard errors too."""
+    x = lambda v: [f"pow({v} / 1000, {d})" for d in range(1, degree + 1)] + [f"pow(greatest(0, {v} - (SELECT k[{j}] FROM kn)) / 1000, {r})" for j in range(1, 6) for r in range(1, degree + 1)]
     kn = f"kn AS (SELECT list(r ORDER BY bin) AS k, list(m ORDER BY bin) AS m, list(bin ORDER BY bin) AS b FROM (SELECT bin, max(l_extendedprice) AS r, avg(l_extendedprice) AS m FROM {_ES6} GROUP BY bin)),\n"
-    rows = _rows(["1", "l_extendedprice / 1000", *knots], "l_quantity")
-    return f"""WITH RECURSIVE {kn}{solved_ctes(rows, 7)}
-SELECT b[u] AS bin, round(m[u], 4) AS x, round(beta[1] + beta[2] * m[u] / 1000 + list_sum([beta[2 + j] * greatest(0, m[u] - k[j]) / 1000 FOR j IN range(1, 6)]), 4) AS fit FROM fit, kn, range(1, 7) q(u)"""
-
-
-QUERIES["binscatter_11"] = _points(["x", "fit"], points=(1, 1), strategy="moments", randcut=1.0)
+    p = 1 + 6 * degree
+    at = f"pt AS (SELECT b[u] AS bin, m[u] AS x, [1.0::DOUBLE, {', '.join(x('m[u]'))}] AS w FROM kn, range(1, 7) q(u))"
+    fit = "round(list_sum(list_transform(w, lambda v, i: v * beta[i])), 4) AS fit"
+    if vcov is None:
+        return f"""WITH RECURSIVE {kn}{solved_ctes(_rows(["1", *x("l_extendedprice")], "l_quantity"), p)}, {at}
+SELECT bin, round(x, 4) AS x, {fit} FROM pt, fit"""
+    spread = {"hc1": f"SELECT bin, sum(s * s) * any_value(n) / (any_value(n) - {p}.0) AS v FROM (SELECT pt.bin, e * list_sum(list_transform(res.x, lambda v, i: v * list_sum(list_transform(w, lambda z, j: z * inv[i][j])))) AS s, n FROM res, pt, fit) GROUP BY bin"}
+    spread["cluster"] = f"SELECT bin, sum(s * s) * count(*) / (count(*) - 1.0) * any_value(n) / (any_value(n) - {p}.0) AS v FROM (SELECT pt.bin, g, any_value(n) AS n, sum(e * list_sum(list_transform(res.x, lambda v, i: v * list_sum(list_transform(w, lambda z, j: z * inv[i][j]))))) AS s FROM res, pt, fit GROUP BY pt.bin, g) GROUP BY bin"
+    return f"""WITH RECURSIVE {kn}{solved_ctes(_rows(["1", *x("l_extendedprice")], "l_quantity", g), p)}, {at}, v AS ({spread[vcov]})
+SELECT pt.bin, round(pt.x, 4) AS x, {fit}, round(sqrt(v), 4) AS se FROM pt JOIN v ON v.bin = pt.bin, fit"""
+
+
+QUERIES["binscatter_11"] = _points(["x", "fit"], points=(1, 1), strategy="moments")
 ORACLES["binscatter_11"] = _spline_sql()
+QUERIES["binscatter_21"] = _points(["x", "fit"], points=(2, 1), strategy="moments")
+ORACLES["binscatter_21"] = _spline_sql(2)
+QUERIES["binscatter_11_hc1"] = _points(["x", "fit", "se"], points=(1, 1), strategy="moments", vcov="hc1")
+ORACLES["binscatter_11_hc1"] = _spline_sql(1, "hc1")
+QUERIES["binscatter_11_cluster"] = _points(["x", "fit", "se"], points=(1, 1), strategy="moments", cluster="l_suppkey")
+ORACLES["binscatter_11_cluster"] = _spline_sql(1, "cluster", "l_suppkey")
 _bin_x = ["1", *(f"CASE WHEN bin = {b} THEN 1.0 ELSE 0.0 END" for b in range(2, 7)), "l_discount", *(_dummy(*f) for f in _qty)]
 
 
