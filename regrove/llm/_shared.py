@@ -34,19 +34,35 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Tables that ``written`` made and ``forget`` has not deleted, in order.
+MADE: list[str] = []
+
+
+def forget(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Deletes the tables that ``written`` made after the first ``since`` of MADE, but those that it returned as ``keep``."""
+    held = {getattr(df, "written_to", None) for df in keep}
+    for path in [p for p in MADE[since:] if p not in held]:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        MADE.remove(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
 
-    The files go when the driver's JVM closes its file systems. A garbage collection lets Spark's cleaner
+    The files go with ``forget``, or when the driver's JVM closes its file systems. A garbage collection lets Spark's cleaner
     drop the shuffle files of what is now written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/regrove-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def released(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import MADE, forget, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -19,6 +19,7 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     Self-links and repeated or reversed links change nothing; nulls are left out. Each round writes the edges to the shared folder. No
     edges: no rows. The number of rounds grows with the logarithm of the number of nodes.
     """
+    since, spark = len(MADE), edges.sparkSession
     edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     was = None
     for _ in range(max_rounds):
@@ -28,6 +29,8 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
         small = down.join(_least(down), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(_least(down).select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = written(small, "edges")
+        forget(spark, since, edges)
+        since = len(MADE) - 1
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(now) == was:
             break

@@ -185,3 +185,12 @@ def test_only_documents_without_ids(spark, folder, tmp_path, pipeline):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.drop_near_copies(spark, docs, str(tmp_path)).count() == rows.count()
     assert pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_a_run_leaves_only_its_last_table(spark, folder, pipeline):
+    from regrove.llm import _shared
+
+    before = len(_shared.MADE)
+    pipeline.run(spark, folder[0]).count()
+    left = [p.rpartition("/")[2] for p in _shared.MADE[before:]]
+    assert [n.removeprefix("regrove-").rpartition("-")[0] for n in left] == ["mixing-sources-to-target-weights"]
