@@ -5,11 +5,11 @@ Counted as part of the ``llm`` subpackage. Stages take (spark, docs, sf_dir); al
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regrove.llm import decontaminate, jaccard, mixing, sharding, toxicity
-from regrove.llm._shared import BROADCAST_ROWS, hashable, remainder, word_count, written
+from regrove.llm._shared import BROADCAST_ROWS, MADE, forget, hashable, quoted, remainder, word_count, written
 
 N_SHARDS = 16
 
@@ -22,11 +22,15 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the random field scores below a half; trained on those of them that have labels and a non-zero id remainder."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(F.col("doc_id"), 5) != 0)
     score, spans = fresh(docs, "score"), fresh(docs, "spans")
-    return toxicity.tag(docs, model, keep_text=True, score=score, spans=spans).where(F.col(score) < 0.5).select(*docs.columns)
+    return toxicity.tag(docs, model, keep_text=True, score=score, spans=spans).where(F.col(quoted(score)) < 0.5).select(*columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +49,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = written(names(again), "again")
     if again.isEmpty():
         return kept
-    one = kept.join(few(again), mine).groupBy(doc, text).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashable(docs))).alias("_row")).select("_row.*")
-    return kept.join(few(again), mine, "left_anti").select(*docs.columns).union(one.select(*docs.columns))
+    one = kept.join(few(again), mine).groupBy(doc, text).agg(F.min_by(F.struct(*columns(docs)), F.xxhash64(*hashable(docs))).alias("_row")).select("_row.*")
+    return kept.join(few(again), mine, "left_anti").select(*columns(docs)).union(one.select(*columns(docs)))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,6 +82,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = len(MADE)
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(spark, since, docs)  # what the stage wrote on its way, and what it read
     return STAGES[-1][1](spark, docs, sf_dir)
