@@ -443,6 +443,47 @@ def test_quality_classifier(spark):
     assert quality.score(docs.where("false"), quality.train([], np.zeros(0))).count() == 0
 
 
+def test_quality_features_and_score_by_hand(texts):
+    """Words, pairs and n-grams of every text, counted in plain Python; the folded score is the softmax of the averaged vectors."""
+    rng = np.random.default_rng(1)
+    size = 1 << quality.BUCKETS_LOG2
+    model = quality.Model(rng.normal(size=(size, quality.DIM)).astype(np.float32), rng.normal(size=(2, quality.DIM)).astype(np.float32), rng.normal(size=2).astype(np.float32))
+    parts, constant = model.folded()
+    some = [t for t in texts if t is None or len(t) < 3000]
+    for a, b, data, offsets in tn.chunks(pa.array(some, pa.string()), most=2000):
+        bucket, doc = quality.features(data, offsets)
+        for k in range(a, b):
+            raw = (some[k] or "").encode()
+            w = [x for x in re.split(rb"[\x20\x09-\x0D]+", raw) if x]
+            padded = b" " + re.sub(rb"[\x20\x09-\x0D]", b" ", raw) + b" "
+            grams = sum(b" " not in padded[i + 1 : i + n - 1] for n in quality.GRAMS for i in range(len(padded) - n + 1))
+            mine = bucket[doc == k - a]
+            assert len(mine) == len(w) + max(0, len(w) - 1) + grams
+            mean = model.vectors[mine].mean(0) if len(mine) else np.zeros(quality.DIM)
+            logits = model.output @ mean + model.bias
+            p = np.exp(logits - logits.max())
+            folded = parts[mine].mean() + constant if len(mine) else constant
+            assert tn.sigmoid(folded) == pytest.approx(p[1] / p.sum(), rel=1e-3)
+
+
+def test_very_long_texts(spark):
+    """A text of 400,000 characters beside short ones, in every operator that reads whole texts in Python."""
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    long = " ".join(rng.choice(vocabulary) for _ in range(60_000))
+    item = " ".join(rng.choice(vocabulary) for _ in range(15))
+    docs = spark.createDataFrame([(1, long), (2, f"{long} {item}"), (3, "short"), (4, None)], "doc_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [2]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    scores = {r["doc_id"]: r for r in katz.katz_scores(docs.withColumn("train", F.col("doc_id") != 2), "train").collect()}
+    assert scores[2]["n_tokens"] == 60_016 and scores[1]["n_known"] == 60_001
+    labels = spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, label int")
+    for module, out in ((quality, lambda m: quality.score(docs, m)), (toxicity, lambda m: toxicity.tag(docs, m))):
+        model = module.fit(docs, labels, F.lit(True), label="label")
+        assert all(0 <= r["score"] <= 1 for r in out(model).collect())
+
+
 def test_toxicity(spark):
     insults = ["gruk", "blarf", "zornik"]
     docs, labels, want = labelled(spark, lambda w, rng: [*w[:4], rng.choice(insults) + ",", *w[4:], rng.choice(insults).upper()])
