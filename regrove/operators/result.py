@@ -132,7 +132,7 @@ class RegressionResult:
         widths = [max(len(row[k]) for row in rows) for k in range(6)]
         table = "\n".join(" ".join(x.ljust(w) if k in (0, 5) else x.rjust(w) for k, (x, w) in enumerate(zip(row, widths))).rstrip() for row in rows)
         g = self.gof()
-        tail = f"---\nSignif. codes: 0 '***' 0.001 '**' 0.01 '*' 0.05 '.' 0.1 ' ' 1\nRMSE: {g['rmse']:.6g}   Adj. R2: {g['adj_r2']:.6g}"
+        tail = f"---\n{', '.join(f'{s} p < {limit}' for limit, s in STARS)}\nRMSE: {g['rmse']:.6g}   Adj. R2: {g['adj_r2']:.6g}"
         if self.collinear:
             tail += f"\nLeft out as collinear: {', '.join(self.collinear)}"
         return f"{head}\nStandard Errors: {label}\n{table}\n{tail}"

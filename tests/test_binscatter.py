@@ -129,3 +129,16 @@ def test_registered_spline_takes_all_rows(spark, tmp_path, monkeypatch):
     whole = query(spark, str(tmp_path)).collect()
     monkeypatch.setattr(B, "SAMPLE_LEAST", 100)
     assert query(spark, str(tmp_path)).collect() == whole
+
+
+def test_bands_hold_all_points_at_once(spark):
+    """Means of bins are independent, so the critical value of k of them is known: both bounds of a normal to the power k."""
+    from statistics import NormalDist
+
+    rng = np.random.default_rng(11)
+    df = spark.createDataFrame(pd.DataFrame({"x": rng.uniform(0, 4, 4000), "y": rng.normal(size=4000)}))
+    for k in (1, 4):
+        r = binscatter("y ~ x", table=df, nbins=k, binspos="es", cb=True, nsims=20_000)
+        want = NormalDist().inv_cdf((1 + 0.95 ** (1 / k)) / 2)
+        assert [(p["cb_upr"] - p["fit"]) / p["se"] for p in r.points] == pytest.approx([want] * k, abs=0.06)
+        assert [p["fit"] - p["cb_lwr"] for p in r.points] == pytest.approx([p["cb_upr"] - p["fit"] for p in r.points])
