@@ -89,21 +89,21 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    both = syncmers.with_next(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
+    both = syncmers.with_next(docs, "doc_id", "text", anchors="own_anchors").withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
     both = both.withColumn("edited", edited)
-    out = syncmers.fingerprints(both, {"own": F.col("text"), "edited": F.col("edited"), "next": F.col("next_text")})
+    out = syncmers.fingerprints(both, {"edited": F.col("edited")})
     out = out.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         syncmers.fingerprint_text(F.col("own_anchors")).alias("fingerprint"),
         syncmers.fingerprint_text(F.col("edited_anchors")).alias("edited_fingerprint"),
-        *("own_anchors", "edited_anchors", "next_anchors"),
+        *("own_anchors", "edited_anchors", "next_own_anchors"),
     )
-    out = syncmers.alike(out, {"near_edited": ("own_anchors", "edited_anchors"), "near_next": ("own_anchors", "next_anchors")})
-    return out.drop("own_anchors", "edited_anchors", "next_anchors")
+    out = syncmers.alike(out, {"near_edited": ("own_anchors", "edited_anchors"), "near_next": ("own_anchors", "next_own_anchors")})
+    return out.drop("own_anchors", "edited_anchors", "next_own_anchors")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

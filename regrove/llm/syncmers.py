@@ -93,13 +93,22 @@ def fingerprints(df: DataFrame, texts: dict[str, Column], *, k: int = K, s: int
     """
     outs = [f"{n}_anchors" for n in texts]
     names = kept_names(df, *outs)
-    out = df.select(packed(df, *outs).alias("_row"), *[tokens(c, unit).alias(f"_{n}_words") for n, c in texts.items()])
-    out = out.select("_row", *[padded(F.col(f"_{n}_words"), k).alias(f"_{n}_padded") for n in texts])
-    out = out.select("_row", *[inner_hashes(F.col(f"_{n}_padded"), s).alias(f"_{n}_inner") for n in texts])
-    out = out.select("_row", *[closed_syncmers(F.col(f"_{n}_inner"), k, s).alias(f"{n}_anchors") for n in texts])
+    out = _anchored(df.select(packed(df, *outs).alias("_row"), *[c.alias(f"_{n}_text") for n, c in texts.items()]), {o: f"_{n}_text" for o, n in zip(outs, texts)}, k, s, unit)
     return out.select(*unpacked(out, names), *outs)
 
 
+def _anchored(df: DataFrame, texts: dict[str, str], k: int, s: int, unit: str) -> DataFrame:
+    """``df`` with the anchors of each text column, under the names given; step by step, so that no step is computed twice."""
+    held = df.columns
+    steps = [(lambda c: tokens(c, unit)), (lambda c: padded(c, k)), (lambda c: inner_hashes(c, s)), (lambda c: closed_syncmers(c, k, s))]
+    of = dict(texts)
+    for n, step in enumerate(steps):
+        last = n == len(steps) - 1
+        df = df.select(*held, *[step(F.col(of[o])).alias(o if last else f"_{n}_{o}") for o in texts])
+        of = {o: f"_{n}_{o}" for o in texts}
+    return df
+
+
 def alike(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """``df`` with, for each name in ``pairs``, the likeness of two columns of anchors. Input columns named like an output are replaced."""
     names = kept_names(df, *pairs)
@@ -119,17 +128,21 @@ def alike(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     return out.select(*unpacked(out, names), *[likeness(F.col(f"_{n}_both"), F.col(f"_{a}"), F.col(f"_{b}")).alias(n) for n, (a, b) in pairs.items()])
 
 
-def with_next(df: DataFrame, order: str, text: str, name: str = "next_text", *, range_rows: int = RANGE_ROWS) -> DataFrame:
+def with_next(df: DataFrame, order: str, text: str, name: str = "next_text", *, anchors: str | None = None, k: int = K, s: int = S, unit: str = "word", range_rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with the text of the row that follows in ``order`` (ties by text; null first), after the last that of the first.
 
     Rows go to ranges of ``order`` and are followed up within each; the first row of each range is handed to the range before,
     so no task sees more than its range. ``order`` may have any numeric type; ids of other types are ranged by a sample of them. An only row is followed by itself. Equal rows follow one another. No rows: no rows.
+    ``anchors``: the name of a column for the text's own anchors; the next text's are then in another, with ``next_`` before. Each text is fingerprinted once.
     """
-    names = kept_names(df, name)
+    added = [name, *([anchors, f"next_{anchors}"] if anchors else [])]
+    names = kept_names(df, *added)
+    slim = [c for c in names if c.lower() != text.lower()]
     ids = df.select(F.col(order).alias("_id"))
     n, low = ids.agg(F.count("*"), F.min("_id")).first()
     if not n:
-        return df.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast("string").alias(name))
+        kind = "array<struct<at:int,hash:bigint>>"
+        return df.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast("string").alias(name), *[F.lit(None).cast(kind).alias(c) for c in added[1:]])
     m = min(MAX_RANGES, max(1, n // range_rows))
     kind = ids.schema["_id"].dataType
     if isinstance(kind, IntegralType):
@@ -141,7 +154,7 @@ def with_next(df: DataFrame, order: str, text: str, name: str = "next_text", *,
         drawn = ids.where("_id is not null").sample(min(1.0, 100 * m / n), seed=1).orderBy("_id").collect() if m > 1 else []
         bounds = sorted({drawn[k * len(drawn) // m][0] for k in range(1, m) if drawn} - {low})
         where = F.coalesce(rank_in(F.col("_id"), bounds, F.array(*[F.lit(x).cast(kind) for x in bounds])), F.lit(0)) if bounds else F.lit(0)
-    rows = df.select(packed(df, name).alias("_row"), F.col(order).alias("_id"), F.col(text).alias("_text")).withColumn("_range", where)
+    rows = df.select(packed(df, text, *added).alias("_row"), F.col(order).alias("_id"), F.col(text).alias("_text")).withColumn("_range", where)
     # The first of each range, at most MAX_RANGES rows: least id, then least text.
     least = rows.groupBy("_range").agg(F.min("_id").alias("_least"), F.max(F.col("_id").isNull()).alias("_null"))
     first = rows.join(F.broadcast(least), "_range").where(F.when(F.col("_null"), F.col("_id").isNull()).otherwise(F.col("_id") == F.col("_least")))
@@ -152,5 +165,11 @@ def with_next(df: DataFrame, order: str, text: str, name: str = "next_text", *,
     ghosts = first.select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.lit(None).cast(rows.schema["_id"].dataType).alias("_id"), "_text", "_range", F.lit(1).alias("_ghost"))
     both = rows.withColumn("_ghost", F.lit(0)).unionByName(ghosts)
     order_by = Window.partitionBy("_range").orderBy("_ghost", F.col("_id").asc_nulls_first(), F.col("_text").asc_nulls_first())
-    out = both.withColumn(name, F.lead("_text").over(order_by)).where("_ghost = 0")
-    return out.select(*unpacked(out, names), name)
+    leads = [F.lead("_text").over(order_by).alias(name)]
+    if anchors:
+        # After the exchange that the window needs, so that anchors are not sent.
+        both = _anchored(both.repartition("_range"), {anchors: "_text"}, k, s, unit)
+        leads += [F.col(quoted(anchors)), F.lead(quoted(anchors)).over(order_by).alias(f"next_{anchors}")]
+    out = both.select("_row", "_text", "_ghost", *leads).where("_ghost = 0")
+    columns = {c: F.col("_row").getField(c) for c in slim}
+    return out.select(*[columns.get(c, F.col("_text")).alias(c) for c in names], *[F.col(quoted(c)) for c in added])
