@@ -29,6 +29,11 @@ SAMPLE_LEAST = 10_000
 WINDOW_ROWS, SPLITTERS = 1_000_000, 1000
 
 
+#: Strokes of lines; ground, ink and shade of plots.
+DASHES = {"solid": "", "dashed": "6 4", "dotted": "1 4"}
+THEMES = {"light": ("white", "#336", "#ccd"), "dark": ("#222", "#9bf", "#446")}
+
+
 @dataclass
 class BinscatterResult:
     points: list[dict] | None
@@ -53,8 +58,15 @@ class BinscatterResult:
         n = f"Observations: {o['N']:,}"
         return "\n".join([*out, n + (f" (of {o['N_orig']:,})" if o["N"] != o["N_orig"] else "")])
 
-    def svg(self, width: int = 640, height: int = 400, ci: bool = True, cb: bool = True) -> str:
-        """A plot: band, line (broken between bins where these aren't joined), points with intervals."""
+    def svg(self, width: int = 640, height: int = 400, ci: bool = True, cb: bool = True, line: bool = True, kind: str = "pointrange", lty: str = "solid", theme: str = "light") -> str:
+        """A plot: band, line (broken between bins where these aren't joined), points with intervals.
+
+        ``kind``: "pointrange", "errorbar" (intervals with caps) or "points"; ``lty``: "solid", "dashed" or "dotted"; ``theme``: "light" or "dark".
+        """
+        if kind not in ("pointrange", "errorbar", "points") or lty not in DASHES or theme not in THEMES:
+            raise ValueError(f"kind is pointrange, errorbar or points, lty one of {', '.join(DASHES)}, theme one of {', '.join(THEMES)}")
+        ground, ink, shade = THEMES[theme]
+        dashes = f' stroke-dasharray="{DASHES[lty]}"' if DASHES[lty] else ""
         rows = (self.points or []) + (self.line or [])
         ys = [r[k] for r in rows for k in ("fit", "lwr", "upr", "cb_lwr", "cb_upr") if r.get(k) is not None and not math.isnan(r[k])]
         xs = [r["x"] for r in rows]
@@ -63,18 +75,20 @@ class BinscatterResult:
         pad = 30
         px = lambda x: pad + (x - min(xs)) / ((max(xs) - min(xs)) or 1) * (width - 2 * pad)
         py = lambda y: height - pad - (y - min(ys)) / ((max(ys) - min(ys)) or 1) * (height - 2 * pad)
-        parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><rect width="100%" height="100%" fill="white"/>']
+        parts = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"><rect width="100%" height="100%" fill="{ground}"/>']
         if cb and self.points and "cb_lwr" in self.points[0]:
             edge = [(px(p["x"]), py(p["cb_upr"])) for p in self.points] + [(px(p["x"]), py(p["cb_lwr"])) for p in reversed(self.points)]
-            parts.append(f'<polygon points="{" ".join(f"{x:.1f},{y:.1f}" for x, y in edge)}" fill="#ccd" stroke="none"/>')
+            parts.append(f'<polygon points="{" ".join(f"{x:.1f},{y:.1f}" for x, y in edge)}" fill="{shade}" stroke="none"/>')
         runs: dict[int, list] = {}
-        for r in self.line or []:
+        for r in (self.line or []) if line else []:
             runs.setdefault(r["bin"] if self.opt["line"] and self.opt["line"][1] == 0 else 0, []).append((px(r["x"]), py(r["fit"])))
-        parts += [f'<polyline points="{" ".join(f"{x:.1f},{y:.1f}" for x, y in run)}" fill="none" stroke="#336"/>' for run in runs.values()]
+        parts += [f'<polyline points="{" ".join(f"{x:.1f},{y:.1f}" for x, y in run)}" fill="none" stroke="{ink}"{dashes}/>' for run in runs.values()]
         for p in self.points or []:
-            if ci and p.get("lwr") is not None and not math.isnan(p["lwr"]):
-                parts.append(f'<line x1="{px(p["x"]):.1f}" x2="{px(p["x"]):.1f}" y1="{py(p["lwr"]):.1f}" y2="{py(p["upr"]):.1f}" stroke="#336"/>')
-            parts.append(f'<circle cx="{px(p["x"]):.1f}" cy="{py(p["fit"]):.1f}" r="3" fill="#336"/>')
+            if ci and kind != "points" and p.get("lwr") is not None and not math.isnan(p["lwr"]):
+                x, low, high = px(p["x"]), py(p["lwr"]), py(p["upr"])
+                ends = [(x, low, x, high)] + ([(x - 4, y, x + 4, y) for y in (low, high)] if kind == "errorbar" else [])
+                parts += [f'<line x1="{a:.1f}" y1="{b:.1f}" x2="{c:.1f}" y2="{d:.1f}" stroke="{ink}"/>' for a, b, c, d in ends]
+            parts.append(f'<circle cx="{px(p["x"]):.1f}" cy="{py(p["fit"]):.1f}" r="3" fill="{ink}"/>')
         return "".join([*parts, "</svg>"])
 
 

@@ -142,3 +142,16 @@ def test_bands_hold_all_points_at_once(spark):
         want = NormalDist().inv_cdf((1 + 0.95 ** (1 / k)) / 2)
         assert [(p["cb_upr"] - p["fit"]) / p["se"] for p in r.points] == pytest.approx([want] * k, abs=0.06)
         assert [p["fit"] - p["cb_lwr"] for p in r.points] == pytest.approx([p["cb_upr"] - p["fit"] for p in r.points])
+
+
+def test_plots(noisy):
+    _, df = noisy
+    r = binscatter("y ~ x", table=df, nbins=4, line=(1, 0), cb=True, nsims=100)
+    plain = r.svg()
+    assert plain.count("<circle") == 4 and plain.count("<line") == 4 and plain.count("<polyline") == 4 and plain.count("<polygon") == 1
+    other = r.svg(kind="errorbar", lty="dashed", theme="dark", cb=False)
+    assert other.count("<line") == 12 and other.count("stroke-dasharray") == 4 and "#222" in other and "<polygon" not in other
+    assert "<line" not in r.svg(kind="points") and "<polyline" not in r.svg(line=False)
+    for bad in ({"kind": "x"}, {"lty": "x"}, {"theme": "x"}):
+        with pytest.raises(ValueError):
+            r.svg(**bad)
