@@ -26,7 +26,7 @@ from ._shared import pack, released, small_batches, unpack, written
 
 BLOCK_TOKENS = 1_000_000
 #: Tokens of the input for each part of the key space.
-PART_TOKENS = 4_000_000
+PART_TOKENS = 2_000_000
 #: Counts up to this are discounted.
 K = 5
 END, BEGIN = np.uint64(0xE0D), np.uint64(0xB0B)
@@ -143,26 +143,48 @@ def counts_asked(wanted: range, bits: int):
     return ask
 
 
+def gathered(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys of all rows, of each key of each row: which, where each row's begin): with few copies of the keys at a time."""
+    parts = [unpack(r.pop("keys"), np.uint64) for r in rows]
+    begins = np.concatenate([[0], np.cumsum([len(k) for k in parts])]).astype(int)
+    keys = np.concatenate(parts)
+    del parts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], of, begins
+
+
 def count_part(keep: bool):
     """``keep``: with a row of the part's n-grams that were seen, for the model's table."""
-    return lambda table: _count_part(table, keep)
+
+    def count(table: pa.Table) -> pa.Table:
+        out = _count_part(table, keep)
+        tn.trim()
+        return out
+
+    return count
 
 
 def _count_part(table: pa.Table, keep: bool) -> pa.Table:
     """Totals of a part's n-grams for each block that asked, marks (whether it is the one to speak for an n-gram, and whether others have it too), and counts of counts."""
-    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-    keys = [unpack(r["keys"], np.uint64) for r in rows]
-    counts = np.concatenate([unpack(r["a"], np.int64) for r in rows])
-    found, of = np.unique(np.concatenate(keys), return_inverse=True)
+    rows = sorted(table.select(["level", "part", "block", "keys", "a"]).to_pylist(), key=lambda r: r["block"])
+    found, of, begins = gathered(rows)
+    counts = np.concatenate([unpack(r.pop("a"), np.int64).astype(np.int32) for r in rows])
     totals = np.bincount(of, counts, minlength=len(found)).astype(np.int64)
-    marks = np.where(np.bincount(of)[of] > 1, np.uint8(SHARED), np.uint8(0))
-    has = np.flatnonzero(counts > 0)
-    marks[has[np.unique(of[has], return_index=True)[1]]] |= SPEAKS
-    out, at = [], 0
-    for r, k in zip(rows, keys):
-        mine = slice(at, at + len(k))
-        out.append((r["level"], r["part"], r["block"], pack(totals[of[mine]]), pack(marks[mine]), None, None))
-        at += len(k)
+    marks = np.where(np.bincount(of, minlength=len(found)) > 1, SHARED, np.uint8(0))[of]
+    # The first block that has seen an n-gram speaks for it.
+    has = np.flatnonzero(counts > 0)[::-1].astype(np.int32)
+    first = np.full(len(found), -1, np.int32)
+    first[of[has]] = has
+    marks[first[first >= 0]] |= SPEAKS
+    del counts, has, first
+    out = []
+    for r, a, b in zip(rows, begins, begins[1:]):
+        out.append((r["level"], r["part"], r["block"], pack(totals[of[a:b]]), pack(marks[a:b]), None, None))
     if keep:
         there = totals > 0
         out.append((rows[0]["level"], rows[0]["part"], KEPT, pack(totals[there]), None, None, pack(found[there])))
@@ -303,27 +325,29 @@ def weights_asked(model: Model, n: int, bits: int, local: bool):
             sums = [np.bincount(past.of, x, minlength=len(past.keys))[past.asked] for x in adds]
             keys = past.keys[past.asked]
             out += [(-n, part, row["block"], pack(keys[a:b]), *(pack(s[a:b]) for s in sums)) for part, a, b in slices(keys, bits)]
+            del held, totals, p, adds, sums
+            tn.trim()
         return table_of(out, ASK)
 
     return ask
 
 
 def weigh_part(keep: bool):
-    return lambda table: _weigh_part(table, keep)
+    def weigh(table: pa.Table) -> pa.Table:
+        out = _weigh_part(table, keep)
+        tn.trim()
+        return out
+
+    return weigh
 
 
 def _weigh_part(table: pa.Table, keep: bool) -> pa.Table:
     """Backoff weight and count of each history, for each block that asked."""
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-    keys = [unpack(r["keys"], np.uint64) for r in rows]
-    found, of = np.unique(np.concatenate(keys), return_inverse=True)
-    count, kept, below = (np.bincount(of, np.concatenate([unpack(r[c], np.float64) for r in rows]), minlength=len(found)) for c in "abc")
+    found, of, begins = gathered(rows)
+    count, kept, below = (np.bincount(of, np.concatenate([unpack(r.pop(c), np.float64) for r in rows]), minlength=len(found)) for c in "abc")
     weight, told = weighed(count, kept, below)
-    out, at = [], 0
-    for r, k in zip(rows, keys):
-        mine = of[at : at + len(k)]
-        out.append((r["level"], r["part"], r["block"], pack(weight[mine]), pack(told[mine]), None, None))
-        at += len(k)
+    out = [(r["level"], r["part"], r["block"], pack(weight[of[a:b]]), pack(told[of[a:b]]), None, None) for r, a, b in zip(rows, begins, begins[1:])]
     if keep:
         there = count > 0
         out.append((rows[0]["level"], rows[0]["part"], KEPT, pack(weight[there]), pack(told[there]), None, pack(found[there])))
@@ -381,6 +405,8 @@ def score_block(model: Model, kind: str, local: bool):
             columns = [tn.per_text((counts > 0).astype(float), first).round().astype(np.int64), np.full(len(sizes), int(n)), tn.per_text(base, first), tn.per_text(np.log10(p[-1])[held[-1].of], first)]
             docs = left.column("docs").combine_chunks().slice(k, 1).flatten()
             out.append(pa.table([docs, pa.array(~np.array(row["train"], bool)), pa.array(sizes), *map(pa.array, columns)], SCORES))
+            del held, totals, p, counts, base
+            tn.trim()
         return pa.concat_tables(out)
 
     return score
