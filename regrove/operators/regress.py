@@ -23,6 +23,8 @@ from .strategy import choose, nested_levels
 #: Set REGROVE_VERBOSE=1 for messages by default.
 #: Columns of a design that are solved as one dense matrix, and cells up to which the driver sums them itself.
 DENSE_COLUMNS, LOCAL_CELLS = 2000, 100_000
+#: Columns up to which scores of clusters are sums over rows; of more, over cells by cluster.
+ROW_SCORES = 24
 VERBOSE = os.environ.get("REGROVE_VERBOSE", "") not in ("", "0")
 
 
@@ -367,7 +369,9 @@ def _compress(job: _Job, columns: list[DesignColumn], levels: dict[str, list], d
         full[keep] = beta
         rss, meat = cell_meat(summable, layout, full, job.vcov == "hc1")
         clusters = None
-        if by_cluster is not None:
+        if by_cluster is not None and layout.p <= ROW_SCORES:
+            meat, clusters = _row_scores(rows.select(*dense, "y", "g"), layout, full)
+        elif by_cluster is not None:
             meat, clusters = cluster_meat(by_cluster, layout, full)
         meat = meat[np.ix_(keep, keep)]
         df = max(n - len(keep), 1)
@@ -383,6 +387,16 @@ def _compress(job: _Job, columns: list[DesignColumn], levels: dict[str, list], d
     )
 
 
+def _row_scores(rows: DataFrame, layout: Layout, beta: np.ndarray) -> tuple[np.ndarray, int]:
+    """As ``cluster_meat``, from rows, each column of the design an expression: one aggregation by cluster, without cells."""
+    x = [F.lit(1.0), *(F.col(f"x{k}") for k in range(layout.k))]
+    for k, place in enumerate(layout.places):
+        x += [F.when(F.col(f"f{k}") == F.lit(level), 1.0).otherwise(0.0) for level in place]
+    scored = rows.withColumn("_e", F.col("y") - _linear(x, beta)).groupBy("g").agg(*[F.sum(F.col("_e") * c).alias(f"s{k}") for k, c in enumerate(x)])
+    m = gram(scored, [F.lit(1.0), *(F.col(f"s{k}") for k in range(len(x)))])
+    return m[1:, 1:], int(round(m[0, 0]))
+
+
 def _absorbed(job: _Job, held: Absorbed, by_cluster: DataFrame | None, names: list[str], x_names: list[str], columns: list[DesignColumn], design: list[DesignColumn], levels: dict[str, list], absorbed: int, fe_levels: dict[str, list[str]], n_cells: int, reduced: DataFrame) -> RegressionResult:
     """The same model with its largest fixed effect eliminated; its levels, and the intercept, are not among the coefficients."""
     within, whole, (n_rows, sy, syy), n_groups = held.within()

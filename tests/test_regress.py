@@ -291,3 +291,12 @@ def test_sql_has_the_values_of_the_model(spark, strategy):
         for j in range(i, p):
             a[i, j] = a[j, i] = row[f"sum_x{i}_x{j}"]
     assert np.linalg.solve(a, b) == pytest.approx(fit.beta, rel=1e-6, abs=1e-6)
+
+
+def test_scores_of_clusters_by_rows_and_by_cells(spark, panel, monkeypatch):
+    df = spark.createDataFrame(panel)
+    formula = "y ~ x1 + kind | year"
+    by_rows = regress(formula, table=df, strategy="compress", cluster="city")
+    monkeypatch.setattr(R, "ROW_SCORES", 0)
+    by_cells = regress(formula, table=df, strategy="compress", cluster="city")
+    assert by_rows.n_clusters == by_cells.n_clusters == 5 and by_rows.covariance == pytest.approx(by_cells.covariance, rel=1e-8, abs=1e-12)
