@@ -10,6 +10,9 @@ meets those of its leaf, then components of the links found so far are known and
 components. A cell with few such pairs gives all of them and is done; of a cell with many, each component gives its likeliest
 pair and the cell is searched again once those are verified, in the last round for every pair that is still apart. So the
 pairs of a round are in proportion to the points, however large a group of near copies is, and no link between components is lost.
+
+The groups of a point are too few to tell long texts apart. Those have counts by finer groups besides, which bound the overlaps
+of the pairs that a tree finds, so that whole sets of unlike texts are not exchanged.
 """
 
 from __future__ import annotations
@@ -24,11 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _textnp as tn
-from ._shared import BROADCAST_ROWS, pack, small_batches, unpack, written
+from ._shared import BROADCAST_ROWS, MADE, forget, pack, small_batches, unpack, written
 from .components import components
 
 #: Hashed groups of shingles: coordinates of a point.
 GROUPS = 256
+#: Shingles for each fine group at least, of sets with that many for each coordinate of a point; at most so many fine groups.
+FINE, MOST_FINE = 2, 1 << 24
+#: Bytes of fine counts that a task holds unpacked.
+FINE_HELD = 1 << 25
 #: Documents of a part of the input, and of all, that must share a shingle before it counts as frequent, and frequent shingles that are told
 #: apart at most. They only change the order of shingles, and so how full cells are, never which pairs are found.
 LOCAL_FREQUENT, FREQUENT, MOST_FREQUENT = 2, 4, 1 << 20
@@ -118,9 +125,9 @@ def frequent_shingles(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray
 
 
 def described(docs: DataFrame, doc: str, text: str, size: int, num: int, den: int) -> DataFrame:
-    """(doc, hash, node, check, n, prefix, point): a row for each document; prefix and point once for each node and task, else null.
+    """(doc, hash, node, check, n, prefix, point, fine): a row for each document; the last three once for each node and task, else null.
 
-    ``hash``: of the text; ``node`` and ``check``: the digest of the set, null if it is empty.
+    ``hash``: of the text; ``node`` and ``check``: the digest of the set, null if it is empty; ``fine``: null of small sets.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, size))
     kind = dict(docs.select(F.col(doc)).dtypes)[doc]
@@ -129,7 +136,7 @@ def described(docs: DataFrame, doc: str, text: str, size: int, num: int, den: in
         tokens, times = frequent.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            nodes, sizes, prefixes, points = [], [], [], []
+            nodes, sizes, prefixes, points, fines = [], [], [], [], []
             for _, _, data, offsets in tn.chunks(batch.column(2)):
                 for s in shingle_sets(data, offsets, size):
                     node = digest(s) if len(s) else (None, None)
@@ -138,6 +145,7 @@ def described(docs: DataFrame, doc: str, text: str, size: int, num: int, den: in
                     if node[0] is None or node in seen:
                         prefixes.append(None)
                         points.append(None)
+                        fines.append(None)
                         continue
                     if len(seen) >= REMEMBERED:
                         seen.clear()
@@ -150,19 +158,24 @@ def described(docs: DataFrame, doc: str, text: str, size: int, num: int, den: in
                             ordered = s[np.lexsort((s, np.where(common, times[at], 0)))]
                     prefixes.append(ordered[: prefix_length(len(s), num, den)].view(np.int64))
                     points.append(point_bytes(s))
+                    fines.append(fine_bytes(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x[0] for x in nodes], pa.int64()), pa.array([x[1] for x in nodes], pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(points, pa.binary())],
-                ["doc", "hash", "node", "check", "n", "prefix", "point"],
+                [batch.column(0), batch.column(1), pa.array([x[0] for x in nodes], pa.int64()), pa.array([x[1] for x in nodes], pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(points, pa.binary()), pa.array(fines, pa.binary())],
+                ["doc", "hash", "node", "check", "n", "prefix", "point", "fine"],
             )
         tn.trim()
 
     columns = docs.select(F.col(doc), F.xxhash64(F.col(text).cast("string")).alias("hash"), F.col(text).cast("string"))
-    return columns.mapInArrow(describe, f"doc {kind}, hash long, node long, check long, n long, prefix array<long>, point binary")
+    return columns.mapInArrow(describe, f"doc {kind}, hash long, node long, check long, n long, prefix array<long>, point binary, fine binary")
+
+
+def counts_of(s: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
 
 
 def point_bytes(s: np.ndarray) -> bytes:
     """Counts by group, as narrow as the size of the set allows."""
-    counts = np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    counts = counts_of(s, GROUPS)
     return counts.astype(np.uint8 if len(s) < 1 << 8 else np.uint16 if len(s) < 1 << 16 else np.uint32).tobytes()
 
 
@@ -176,6 +189,49 @@ def points_of(blobs: list[bytes]) -> np.ndarray:
     return out
 
 
+def fine_bytes(s: np.ndarray) -> bytes | None:
+    """Counts by so many groups, a power of two, that each has FINE to 2 * FINE shingles on average; None where GROUPS are enough."""
+    groups = min(MOST_FINE, 1 << max(0, (len(s) // FINE).bit_length() - 1))
+    return pack(counts_of(s, groups).astype(np.uint32)) if groups > GROUPS else None
+
+
+def fine_overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Summed minima of fine counts, the finer ones folded: at least what the sets share."""
+    if len(x) != len(y):
+        groups = min(len(x), len(y))
+        x, y = (c if len(c) == groups else c.reshape(-1, groups).sum(0, dtype=np.int64) for c in (x, y))
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
+class Fine:
+    """Fine counts of a cell's points, unpacked when asked for."""
+
+    def __init__(self, blobs: np.ndarray, n: np.ndarray) -> None:
+        self.blobs, self.n, self.there = blobs, n, np.array([x is not None for x in blobs], bool)
+        self.counts: dict[int, np.ndarray] = {}
+        self.held = 0
+
+    def of(self, k: int) -> np.ndarray:
+        if k not in self.counts:
+            if self.held > FINE_HELD:
+                self.counts.clear()
+                self.held = 0
+            counts = unpack(self.blobs[k], np.uint32)
+            self.counts[k] = counts.astype(np.min_scalar_type(counts.max()))
+            self.held += self.counts[k].nbytes
+        return self.counts[k]
+
+    def reached(self, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(point, point, bound by size) of what a tree over the points ``a`` has found with one over ``b``, less pairs whose fine counts show that they cannot link."""
+        for i, j, score in found:
+            x, y = a[i], b[j]
+            keep, score = np.ones(len(x), bool), np.array(score, float)
+            for k in np.flatnonzero(self.there[x] & self.there[y]):
+                bound, sizes = fine_overlap(self.of(x[k]), self.of(y[k])), int(self.n[x[k]] + self.n[y[k]])
+                keep[k], score[k] = (num + den) * bound >= num * sizes, bound / sizes
+            yield x[keep], y[keep], score[keep]
+
+
 def told_apart(rows: DataFrame) -> DataFrame:
     """``rows`` with ``digest``, the first half of it, and ``node``: another one where different sets share that half."""
     sets = rows.where("node is not null").groupBy("node").agg(F.min("check").alias("a"), F.max("check").alias("b"))
@@ -426,12 +482,12 @@ class Likeliest:
 
 
 def tree_pairs(num: int, den: int, first: bool, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """From (cell, low, high, block, node, component, n, point) sorted by the first three: candidate (cell, u, v) of different components.
+    """From (cell, low, high, block, node, component, n, point, fine) sorted by the first three: candidate (cell, u, v) of different components.
 
     A cell that must be searched again gives (cell, null, null) besides.
     """
 
-    def pieces(block: np.ndarray, low: int, high: int, n: np.ndarray, component: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
+    def pieces(block: np.ndarray, low: int, high: int, n: np.ndarray, component: np.ndarray, points: np.ndarray, fine: Fine) -> Iterator[tuple[np.ndarray, bool]]:
         a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
         if not len(a) or not len(b):
             return
@@ -439,19 +495,19 @@ def tree_pairs(num: int, den: int, first: bool, last: bool) -> Callable[[Iterato
         if first and len(n) > WHOLE:
             kept = Likeliest(np.arange(len(n)), -1)
             if low == high:
-                for i, j, score in left.leaves(num, den):
-                    kept.add(a[i], a[j], score)
+                for x, y, score in fine.reached(left.leaves(num, den), a, a, num, den):
+                    kept.add(x, y, score)
             yield kept.pairs()[0], False
             return
         right = left if low == high else Tree(points[b], n[b], component[b])
-        found = left.join(right, num, den)
+        found = fine.reached(left.join(right, num, den), a, b, num, den)
         if last:
-            for i, j, _ in found:
-                yield np.stack([a[i], b[j]], 1), True
+            for x, y, _ in found:
+                yield np.stack([x, y], 1), True
             return
         kept = Likeliest(component, FEW * len(n))
-        for i, j, score in found:
-            kept.add(a[i], b[j], score)
+        for x, y, score in found:
+            kept.add(x, y, score)
         yield kept.pairs()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -460,9 +516,10 @@ def tree_pairs(num: int, den: int, first: bool, last: bool) -> Callable[[Iterato
         for batch in _and_end(batches):
             if batch is not None and batch.num_rows:
                 now = [np.asarray(batch.column(k)) for k in range(7)]
-                blobs = np.empty(batch.num_rows, object)
-                blobs[:] = batch.column(7).to_pylist()
-                now.append(blobs)
+                for k in (7, 8):
+                    blobs = np.empty(batch.num_rows, object)
+                    blobs[:] = batch.column(k).to_pylist()
+                    now.append(blobs)
                 held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             if held is None:
                 continue
@@ -473,8 +530,8 @@ def tree_pairs(num: int, den: int, first: bool, last: bool) -> Callable[[Iterato
                 cuts = np.append(cuts, len(new))
             out: list[tuple] = []
             for x, y in zip(cuts, cuts[1:]):
-                cell, low, high, block, node, component, n, blobs = (h[x:y] for h in held)
-                for pairs, done in pieces(block, int(low[0]), int(high[0]), n, component, points_of(blobs)):
+                cell, low, high, block, node, component, n, blobs, fines = (h[x:y] for h in held)
+                for pairs, done in pieces(block, int(low[0]), int(high[0]), n, component, points_of(blobs), Fine(fines, n)):
                     u, v = node[pairs[:, 0]], node[pairs[:, 1]]
                     new_ones = set(zip(np.maximum(u, v).tolist(), np.minimum(u, v).tolist())) - seen
                     if len(seen) > REMEMBERED:
@@ -515,15 +572,18 @@ def jaccard_groups(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
     ``first``: whether the row is one with the least (id, hash) of its group (a null id goes last), or has no words.
     """
     small_batches(docs.sparkSession)
+    since = len(MADE)
     rows = told_apart(written(described(docs, doc, text, size, num, den), "described"))
     meeting = meeting_cells(rows)
     large = written(meeting.groupBy("cell").count().where(F.col("count") > BLOCK).select("cell"), "large")
     least = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "hash")).alias("least")
     reps = written(rows.where("node is not null").groupBy("node").agg(F.first("digest").alias("digest"), F.first("check").alias("check"), least), "reps")
     names = reps.select("node", "digest", "check", "least.doc", "least.hash")
-    points = rows.where("prefix is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+    points = rows.where("prefix is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "point", "fine")))
     points = written(points, "points")
-    links = known = tried = None
+    rows = written(rows.select("doc", "hash", "n", "node"), "rows")
+    forget(docs.sparkSession, since, meeting, large, reps, points, rows)  # prefixes and cells, the most of what is held
+    known = tried = None
     alive = meeting
     for k in range(ROUNDS + 1):
         found = written(_search(alive, large, known, points, num, den, k == 0, k == ROUNDS), "found")
@@ -532,7 +592,8 @@ def jaccard_groups(docs: DataFrame, *, doc: str = "doc_id", text: str = "text",
         tried = pairs if tried is None else tried.union(pairs)
         more = written(verified(pairs, docs, doc, text, names, size, num, den), "more")
         if not more.isEmpty():
-            links = more if links is None else links.union(more)
+            # What is known stands for the links before.
+            links = more if known is None else more.union(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
             known = written(components(links), "components")
         again = written(found.where("u is null").select("cell").distinct(), "again")
         if again.isEmpty():
@@ -559,7 +620,7 @@ def _search(meeting: DataFrame, large: DataFrame, known: DataFrame | None, point
     # Sets that link differ in size by a factor of den / num at most, so blocks of a large cell meet those of their own or the next band of sizes.
     placed = placed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int") if den > num else F.lit(0))
     zero = F.lit(0).cast("long")
-    in_one = lambda rows: rows.select("cell", zero.alias("low"), zero.alias("high"), zero.alias("block"), "node", "component", "n", "point")
+    in_one = lambda rows: rows.select("cell", zero.alias("low"), zero.alias("high"), zero.alias("block"), "node", "component", "n", "point", "fine")
     if large.isEmpty():
         alive = in_one(placed)
     else:
@@ -570,6 +631,6 @@ def _search(meeting: DataFrame, large: DataFrame, known: DataFrame | None, point
         dealt = placed.join(bands, ["cell", "band"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("blocks")))
         dealt = dealt.join(all_blocks, "cell").where(F.abs(F.col("band") - F.col("other_band")) <= 1)
         block, other = number(F.col("band"), F.col("sub")), number(F.col("other_band"), F.col("other_sub"))
-        dealt = dealt.select("cell", F.least(block, other).alias("low"), F.greatest(block, other).alias("high"), block.alias("block"), "node", "component", "n", "point")
+        dealt = dealt.select("cell", F.least(block, other).alias("low"), F.greatest(block, other).alias("high"), block.alias("block"), "node", "component", "n", "point", "fine")
         alive = in_one(placed.join(large, "cell", "left_anti")).union(dealt)
     return alive.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high").mapInArrow(tree_pairs(num, den, first, last), "cell long, u long, v long")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regrove.llm import _textnp as tn
-from regrove.llm import decontaminate, jaccard, katz, quality, toxicity
+from regrove.llm import _shared, decontaminate, jaccard, katz, quality, toxicity
 from regrove.llm.components import components
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -193,6 +193,61 @@ def test_tree_bounds_lose_nothing():
     assert near[0, 75]
 
 
+def test_fine_counts_lose_nothing():
+    rng = np.random.default_rng(3)
+    dropped = 0
+    for n in (300, 1023, 1024, 1500, 9000, 40_000):
+        s = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        assert (jaccard.fine_bytes(s) is not None) == (len(s) >= 1024)
+        for kept, more in ((1.0, 0.0), (1.0, 1 / 3), (0.75, 0.0), (0.9, 0.04), (0.87, 0.13), (0.8, 0.3), (0.1, 0.9), (0.0, 1.0)):
+            other = np.unique(np.concatenate([s[: int(np.ceil(len(s) * kept))], rng.integers(0, 1 << 63, int(n * more)).astype(np.uint64)]))
+            both = len(np.intersect1d(s, other))
+            x, y = (jaccard.fine_bytes(z) for z in (s, other))
+            if x is None or y is None:
+                continue
+            x, y = (jaccard.unpack(z, np.uint32) for z in (x, y))
+            assert x.sum() == len(s) and y.sum() == len(other)
+            bound = jaccard.fine_overlap(x, y)
+            assert bound == jaccard.fine_overlap(y, x) >= both
+            reach = 175 * bound >= 75 * (len(s) + len(other))
+            dropped += not reach
+            assert not (reach and kept < 0.2)
+    assert dropped
+
+
+def test_jaccard_sends_no_sets_of_unlike_long_texts(spark, monkeypatch):
+    """Long texts that share a passage by twos, and near copies of two of them: the coarse counts tell none of them apart."""
+    rng = random.Random(4)
+    prose = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    passages = [prose(100) for _ in range(6)]
+    out = [[*prose(4000), *passages[k // 2], *prose(4000)] for k in range(12)]
+    for k in (0, 1):
+        near = list(out[k])
+        for at in rng.sample(range(len(near)), 100):
+            near[at] = "changed"
+        out.append(near)
+    long_texts = [" ".join(w) for w in out]
+    sent = []
+
+    def verified(pairs, *rest, real=jaccard.verified):
+        sent.extend((r["u"], r["v"]) for r in pairs.collect())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", verified)
+    docs = spark.createDataFrame(list(enumerate(long_texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == brute_components(long_texts)
+    assert got[12][1] == 0 and got[13][1] == 1 and len(sent) == 2
+
+
+def test_jaccard_holds_neither_prefixes_nor_cells(docs, texts):
+    since = len(_shared.MADE)
+    out = jaccard.jaccard_components(docs)
+    held = {p.rsplit("/", 1)[1].split("-")[1] for p in _shared.MADE[since:]}
+    assert "rows" in held and not held & {"described", "cells"}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == brute_components(texts)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5)]
