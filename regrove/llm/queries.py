@@ -116,7 +116,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [
     linkgraph.Rule("block", "com/en/"),
     linkgraph.Rule("allow", "example.com/en/7"),
-    linkgraph.Rule("block", "net/de/"),
+    linkgraph.Rule("allow", "net/de/"),
     linkgraph.Rule("block", "example.net/de/8"),
     linkgraph.Rule("block", "org/es/"),
 ]

@@ -178,6 +178,15 @@ def test_urls(spark, folder, tables):
     assert verdicts[8, ""] == "allow"
 
 
+def test_urls_get_the_words_of_the_contract(spark, tmp_path):
+    """Each rule, the longer one within another, and a blocked page beside an allowed one of its host."""
+    want = {"http://b.com/en/": ("com/en/", "block"), "http://a.example.com/en/7": ("example.com/en/7", "allow"), "http://example.com/en/8": ("com/en/", "block"), "http://x.net/de/1": ("net/de/", "allow"), "http://net/de/": ("net/de/", "allow"), "http://example.net/de/7": ("net/de/", "allow"), "http://example.net/de/8": ("example.net/de/8", "block"), "http://q.org/es/": ("org/es/", "block")}
+    pages = [(k, url, None) for k, url in enumerate(want)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.op9_urls(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 def test_chat(spark, folder, tables):
     talks = collections.defaultdict(list)
     for c, turn, role, text in tables[6]:
