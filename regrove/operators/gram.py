@@ -20,6 +20,10 @@ EXPRESSION_COLUMNS = 8
 LAST_TASKS = 32
 #: Numbers of a dense block of rows.
 CELLS = 1 << 21
+#: Bytes of keys and vectors that a task holds before it sends their sums on.
+HELD = 1 << 24
+#: Columns up to which sums by group or cluster are aggregate expressions; they hold nothing in Python.
+NARROW = 24
 
 
 def gram(df: DataFrame, columns: list[Column], *, kernel: str | None = None) -> np.ndarray:
@@ -101,6 +105,11 @@ class Layout:
             out[has, idx[has]] = 1.0
         return out
 
+    def expressions(self) -> list[Column]:
+        """The columns of ``dense``, one by one."""
+        out = [F.lit(1.0)] * self.intercept + [F.col(f"x{j}") for j in range(self.k)]
+        return out + [F.when(F.col(f"f{f}") == F.lit(level), 1.0).otherwise(0.0) for f, place in enumerate(self.places) for level in place]
+
     def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
         step = max(1, CELLS // max(1, self.p))
         for batch in batches:
@@ -154,29 +163,40 @@ def _squares(batch: pa.RecordBatch, fit: np.ndarray) -> np.ndarray:
 def sums_by(rows: DataFrame, key: str, m: int, vectors: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, pa.RecordBatch]]]) -> DataFrame:
     """(key as text, v): the sum of the vectors of length ``m`` that ``vectors`` gives for the rows of each key.
 
-    Each task adds up the keys it meets before the shuffle, so that a key with most of the rows sends one vector a task, and the
-    sums of a key are added one by one after it.
+    Each task adds up the keys it meets before the shuffle, in HELD bytes whatever their number, so that a key with most of the rows
+    sends few vectors a task, and the sums of a key are added one by one after it.
     """
 
     def flush(held: dict[str, np.ndarray]) -> pa.RecordBatch:
         values = np.concatenate(list(held.values())) if held else np.zeros(0)
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.ListArray.from_arrays(np.arange(0, len(values) + 1, m, dtype=np.int32), pa.array(values))], [key, "v"])
+        return vectors_of(pa.array(list(held), pa.string()), values)
+
+    def vectors_of(names: pa.Array, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.ListArray.from_arrays(np.arange(0, values.size + 1, m, dtype=np.int32), pa.array(values.ravel()))], [key, "v"])
+
+    def added(names: pa.Array, v: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Each key once, with the sum of its vectors."""
+        g = names.dictionary_encode()
+        codes = g.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        cuts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        return g.dictionary, np.add.reduceat(v[order], cuts, axis=0) if len(cuts) else np.zeros((0, m))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: list[tuple[pa.Array, np.ndarray]] = []
+        size = settled = 0  # bytes held, and those of them that are added up
         for v, batch in vectors(batches):
-            g = batch.column(key).dictionary_encode()
-            codes = g.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(codes, kind="stable")
-            cuts = np.flatnonzero(np.diff(codes[order], prepend=-1))
-            sums = np.add.reduceat(v[order], cuts, axis=0) if len(cuts) else v
-            for c, x in zip(codes[order][cuts], sums):
-                name = g.dictionary[int(c)].as_py()
-                held[name] = held[name] + x if name in held else x
-            if len(held) * m > CELLS:
-                yield flush(held)
-                held = {}
-        yield flush(held)
+            held.append(added(batch.column(key), v))
+            size += held[-1][0].nbytes + held[-1][1].nbytes
+            if size - settled <= HELD // 2:
+                continue
+            held = [added(pa.concat_arrays([n for n, _ in held]), np.concatenate([x for _, x in held]))]
+            size = settled = held[0][0].nbytes + held[0][1].nbytes
+            if size > HELD // 2:
+                yield vectors_of(*held[0])
+                held, size, settled = [], 0, 0
+        if held:
+            yield vectors_of(*added(pa.concat_arrays([n for n, _ in held]), np.concatenate([x for _, x in held])))
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sum_, done = None, np.zeros(m), {}
@@ -210,6 +230,12 @@ def outer_sum(sums: DataFrame, m: int) -> tuple[np.ndarray, int]:
     return out[1:].reshape(m, m), int(round(out[0]))
 
 
+def expression_sums(rows: DataFrame, key: str, columns: list[Column]) -> DataFrame:
+    """As ``sums_by``, of few columns: Spark adds them up, and spills what it cannot hold."""
+    sums = rows.groupBy(key).agg(*[F.sum(c).alias(f"s{k}") for k, c in enumerate(columns)])
+    return sums.select(key, F.array(*[F.col(f"s{k}") for k in range(len(columns))]).alias("v"))
+
+
 def cluster_meat(cells: DataFrame, layout: Layout, beta: np.ndarray) -> tuple[np.ndarray, int]:
     """(sum over clusters of score times score', clusters) from cells by cluster (column g) with n and sy."""
 
@@ -238,6 +264,10 @@ class Absorbed:
     def __init__(self, cells: DataFrame, layout: Layout) -> None:
         self.cells, self.layout = cells, layout
         q = layout.p
+        if q <= NARROW:
+            n = F.col("n").cast("double")
+            self.groups = expression_sums(cells, "a", [n, F.col("sy"), *(c * n for c in layout.expressions())])
+            return
 
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
             for x, batch in layout.blocks(batches):
@@ -284,6 +314,14 @@ class Absorbed:
     def cluster_meat(self, by: DataFrame, beta: np.ndarray) -> tuple[np.ndarray, int]:
         """As ``cluster_meat``, from cells by cluster."""
         layout = self.layout
+        if 0 < layout.p <= NARROW:
+            size = F.col("v")[0]
+            own = by.join(self.groups, "a").select("g", "n", "sy", (F.col("v")[1] / size).alias("_mean"), *[(c - F.col("v")[k + 2] / size).alias(f"w{k}") for k, c in enumerate(layout.expressions())])
+            fit = sum((F.col(f"w{k}") * F.lit(float(b)) for k, b in enumerate(beta)), F.col("_mean"))
+            own = own.withColumn("_e", F.col("sy") - F.col("n") * fit)
+            scored = own.groupBy("g").agg(*[F.sum(F.col(f"w{k}") * F.col("_e")).alias(f"s{k}") for k in range(layout.p)])
+            m = gram(scored, [F.lit(1.0), *(F.col(f"s{k}") for k in range(layout.p))])
+            return m[1:, 1:], int(round(m[0, 0]))
 
         def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
             for x, fit, batch in _within_groups(layout, batches, beta):

@@ -1,10 +1,15 @@
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import regrove
 from regrove import regress
+import regrove.operators.gram as G
 import regrove.operators.regress as R
 from regrove.operators.gram import gram
 from regrove.operators.strategy import choose, is_balanced, nested_levels
@@ -300,3 +305,44 @@ def test_scores_of_clusters_by_rows_and_by_cells(spark, panel, monkeypatch):
     monkeypatch.setattr(R, "ROW_SCORES", 0)
     by_cells = regress(formula, table=df, strategy="compress", cluster="city")
     assert by_rows.n_clusters == by_cells.n_clusters == 5 and by_rows.covariance == pytest.approx(by_cells.covariance, rel=1e-8, abs=1e-12)
+
+
+def test_sums_by_key_hold_few_keys(monkeypatch):
+    """What a task holds does not grow with the number of its keys, and every key keeps its whole sum."""
+    tasks = []
+    rows = SimpleNamespace(mapInArrow=lambda task, schema: tasks.append(task) or rows, repartition=lambda key: rows, sortWithinPartitions=lambda key: rows)
+    G.sums_by(rows, "g", 2, lambda batches: ((np.ones((b.num_rows, 2)), b) for b in batches))
+    names = [f"key {k}" for k in range(200_000)]
+    batches = (pa.RecordBatch.from_arrays([pa.array(["hot"] * 1000 + names[a : a + 5000])], ["g"]) for _ in range(2) for a in range(0, len(names), 5000))
+    count, hot, held = 0.0, 0.0, 0
+    tracemalloc.start()
+    for out in tasks[0](batches):
+        held = max(held, tracemalloc.get_traced_memory()[1])
+        v = out.column(1).flatten().to_numpy().reshape(-1, 2)
+        count += v.sum()
+        hot += v[out.column(0).index("hot").as_py(), 0]
+        del v, out
+    tracemalloc.stop()
+    assert count == 2 * (400_000 + 80_000) and hot == 80_000
+    assert held < 40e6
+
+
+def test_absorbed_effect_of_a_narrow_design_by_expressions(spark, monkeypatch, capsys):
+    """Sums of groups and scores of clusters hold nothing in Python, and are those of the matrices of a wide design."""
+    rng = np.random.default_rng(9)
+    n = 600
+    frame = pd.DataFrame({"firm": rng.integers(0, 50, n), "year": [f"y{v}" for v in rng.integers(0, 4, n)], "x": rng.integers(0, 6, n).astype(float), "g": rng.integers(0, 40, n)})
+    frame["y"] = 2 * frame.x + frame.firm + rng.normal(size=n) * (1 + frame.x)
+    df = spark.createDataFrame(frame)
+    cells = df.select(F.col("x").alias("x0"), F.col("firm").cast("string").alias("a"), F.lit(1).alias("n"), F.col("y").alias("sy"))
+    G.Absorbed(cells, G.Layout(1, [], intercept=False)).groups.explain()
+    assert "MapInArrow" not in capsys.readouterr().out
+    monkeypatch.setattr(R, "DENSE_COLUMNS", 20)
+    for how in ({"vcov": "hc1"}, {"cluster": "g"}):
+        narrow = regress("y ~ x | firm + year", table=df, strategy="compress", **how)
+        with monkeypatch.context() as patch:
+            patch.setattr(G, "NARROW", 0)
+            patch.setattr(G, "HELD", 1 << 10)
+            wide = regress("y ~ x | firm + year", table=df, strategy="compress", **how)
+        assert narrow.absorbed == wide.absorbed == "firm" and narrow.n_clusters == wide.n_clusters
+        assert narrow.beta == pytest.approx(wide.beta, rel=1e-9) and narrow.covariance == pytest.approx(wide.covariance, rel=1e-8, abs=1e-12)
